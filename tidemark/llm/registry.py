@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.byte_bpe import op5_byte_bpe
 from tidemark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -9,6 +10,7 @@ from tidemark.llm.quality_rules import OP4_SQL, op4_quality_rules
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
 }
 
