@@ -6,8 +6,10 @@ from tidemark.llm.byte_bpe import op5_byte_bpe
 from tidemark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.quality_rules import OP4_SQL, op4_quality_rules
+from tidemark.llm.secrets import op2_secrets
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
