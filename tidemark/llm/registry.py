@@ -5,8 +5,10 @@ from __future__ import annotations
 from tidemark.llm.byte_bpe import op5_byte_bpe
 from tidemark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tidemark.llm.mixing import op6_mixing
+from tidemark.llm.pii import op10_pii
 from tidemark.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tidemark.llm.secrets import op2_secrets
+from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op2_secrets": op2_secrets,
@@ -14,6 +16,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL}
