@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.byte_bpe import op5_byte_bpe
 from tidemark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from tidemark.llm.mixing import op6_mixing
+from tidemark.llm.near_dedup import op9_near_dedup
 from tidemark.llm.pii import op10_pii
 from tidemark.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tidemark.llm.secrets import op2_secrets
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
 }
 
