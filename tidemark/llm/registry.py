@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.byte_bpe import op5_byte_bpe
 from tidemark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
+from tidemark.llm.line_dedup import op1_line_dedup
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.near_dedup import op9_near_dedup
 from tidemark.llm.pii import op10_pii
@@ -12,6 +13,7 @@ from tidemark.llm.secrets import op2_secrets
 from tidemark.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_secrets": op2_secrets,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
