@@ -8,6 +8,7 @@ from tidemark.llm.line_dedup import op1_line_dedup
 from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.near_dedup import op9_near_dedup
 from tidemark.llm.pii import op10_pii
+from tidemark.llm.quality_classifier import op7_quality_classifier
 from tidemark.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tidemark.llm.secrets import op2_secrets
 from tidemark.llm.toxicity import op8_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
