@@ -1,14 +1,14 @@
 """Line deduplication by a log-template tree.
 
-A line is cut into tokens at white space, and tokens with a digit become the
-wildcard. The tree has a fixed depth: token count, then the LEADING first tokens.
-Leaves that only one document reaches hold no recurring line and are left out by a
-cheap aggregation. In each other leaf, a token that at its place stands in a single
-different line is a variable field and becomes the wildcard too; what is left is
-the line's template. A template recurs when two or more documents have it, if
-at least LITERAL of its tokens are no wildcards. Lines without wildcards beyond digits
-recur when two documents have them. Lines of recurring templates are dropped
-from all their documents.
+A line is cut into tokens at spaces, and tokens with a digit become the wildcard.
+The tree has a fixed depth: token count, then the LEADING first tokens. Leaves that
+only one document reaches hold no recurring line and are left out by a cheap
+aggregation. In each other leaf, different lines are put in order, once from the
+front and once from the back; neighbours that agree in LITERAL of their tokens are
+one template, whose other tokens are its variable fields. A template recurs when
+two or more documents have it, as does a line that two or more documents have. Lines
+of recurring templates are dropped from all their documents. A leaf of more than PART
+different lines is dealt into parts.
 
 Lines of fewer than MIN_TOKENS tokens always stay. A null text stays null; a text
 that loses all lines becomes empty. Rows equal in doc_id and text are one
@@ -18,68 +18,75 @@ DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE, packed, staged, table, text_or_empty, unpacked
+from tidemark.llm.common import packed, staged, table, unpacked
 
-LEADING, MIN_TOKENS, LITERAL = 3, 5, 0.6
+LEADING, MIN_TOKENS, LITERAL, PART = 3, 5, 0.6, 1 << 16
 WILD = "<*>"
 
 
 def document_key(docs: DataFrame) -> Column:
     """Tells documents apart also where ids repeat or are null."""
-    return F.xxhash64(docs["doc_id"], F.sha2(text_or_empty(docs["text"]), 256))
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def tokenised(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, f"[^{WHITE}]*[0-9][^{WHITE}]*", WILD)).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(" \t\n\x0b\x0c\r")), f"[{WHITE}]+")
+def masked(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
 
 
-def _lines(docs: DataFrame, with_tokens: bool) -> DataFrame:
-    """_key, _id, _at, _leaf, _line (a 128-bit name of the masked line), and the tokens if wanted."""
-    rows = docs.where(docs["text"].isNotNull()).select(document_key(docs).alias("_key"), docs["doc_id"].alias("_id"), F.posexplode(F.split(docs["text"], "\n")).alias("_at", "_raw"))
-    cut = rows.select("_key", "_id", "_at", tokenised(F.col("_raw")).alias("_tokens")).where(F.size("_tokens") >= MIN_TOKENS)
+def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
+    """_key, _at, _leaf and the 128-bit name (_line, _more) of each masked line, and the line itself if wanted."""
+    rows = docs.where(docs["text"].isNotNull()).select(document_key(docs).alias("_key"), F.posexplode(F.split(docs["text"], "\n")).alias("_at", "_raw"))
+    cut = rows.select("_key", "_at", masked(F.col("_raw")).alias("_text"))
+    cut = cut.withColumn("_tokens", F.split("_text", " ")).where(F.size("_tokens") >= MIN_TOKENS)
     leaf = F.xxhash64(F.size("_tokens"), *[F.get("_tokens", F.lit(i)) for i in range(LEADING)])
-    joined = F.array_join("_tokens", " ")
-    return cut.select("_key", "_id", "_at", leaf.alias("_leaf"), F.unhex(F.md5(joined)).alias("_line"), *([joined.alias("_text")] if with_tokens else []))
+    return cut.select(
+        "_key", "_at", leaf.alias("_leaf"), F.xxhash64("_text").alias("_line"), F.xxhash64(F.lit(1), "_text").alias("_more"), *(["_text"] if with_text else [])
+    )
+
+
+def _clusters(lines: DataFrame, order: Column) -> DataFrame:
+    """Lines with _same: how the template of their cluster is called, if two documents or more have it.
+
+    Lines of a part stand in order; a line joins the cluster of the one before if
+    LITERAL of their tokens agree place by place.
+    """
+    part = Window.partitionBy("_leaf", "_part").orderBy(order, "_line", "_more")
+    before = F.lag("_tokens").over(part)
+    agree = F.size(F.array_compact(F.zip_with("_tokens", before, lambda x, y: F.when((x == y) & (x != WILD), True))))
+    begins = F.when(agree >= LITERAL * F.size("_tokens"), 0).otherwise(1)
+    counted = lines.withColumn("_begins", begins).withColumn("_cluster", F.sum("_begins").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("_leaf", "_part", "_cluster")
+    spread = counted.withColumn("_x", F.min("_a").over(whole)).withColumn("_y", F.max("_b").over(whole)).where("_x <> _y")
+    return spread.select("_line", "_more", F.min("_line").over(whole).alias("_template"))
 
 
-def recurring_lines(docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """_line and _template of all lines whose template recurs across documents."""
-    lines = _lines(docs, False) if lines is None else lines
+def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """_line, _more and _template of all lines whose template recurs across documents."""
     leaves = staged(lines.groupBy("_leaf").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a <> _b").select("_leaf"), "leaves")
-    within = _lines(docs, True).join(leaves, "_leaf", "left_semi")
-    different = staged(
-        within.groupBy("_leaf", "_line").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.first("_text").alias("_text")), "different-lines"
+    within = _lines(docs, True).hint("merge").join(leaves, "_leaf", "left_semi")
+    different = staged(within.groupBy("_leaf", "_line", "_more").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.first("_text").alias("_text")), "different-lines")
+    several = different.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_leaf").alias("_of"), F.ceil(F.col("_n") / PART).alias("_parts"))
+    parted = different.join(several, F.col("_leaf") == F.col("_of")).select(
+        "_leaf", "_line", "_more", "_a", "_b", F.split("_text", " ").alias("_tokens"), F.pmod(F.xxhash64("_line", "_more"), F.col("_parts")).alias("_part")
     )
-    several = different.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_leaf")
-    single = different.join(several, "_leaf", "left_semi")
-    fields = single.select("_leaf", "_line", "_a", "_b", F.posexplode(F.split("_text", " ")).alias("_place", "_token"))
-    # at most one row for each place and token of a leaf comes from a task
-    support = fields.groupBy("_leaf", "_place", "_token").agg(F.min("_line").alias("_p"), F.max("_line").alias("_q")).where("_p <> _q").select("_leaf", "_place", "_token")
-    literal = fields.where(F.col("_token") != WILD).join(support, ["_leaf", "_place", "_token"], "left_semi")
-    # a line's own tokens only
-    templates = literal.groupBy("_leaf", "_line", "_a", "_b").agg(F.array_sort(F.collect_list(F.struct("_place", "_token"))).alias("_literals"))
-    sized = templates.join(single.select(F.col("_line").alias("_l"), F.size(F.split("_text", " ")).alias("_size")), F.col("_line") == F.col("_l"))
-    firm = sized.where(F.size("_literals") >= LITERAL * F.col("_size")).select("_leaf", "_line", "_a", "_b", F.xxhash64("_leaf", "_literals").alias("_template"))
-    wide = firm.groupBy("_template").agg(F.min("_a").alias("_x"), F.max("_b").alias("_y")).where("_x <> _y").select("_template")
-    general = firm.join(wide, "_template").select("_line", "_template")
-    exact = different.where("_a <> _b").select("_line", F.xxhash64("_line").alias("_template"))
-    return exact.union(general).groupBy("_line").agg(F.min("_template").alias("_template"))
+    forward, backward = _clusters(parted, F.col("_tokens")), _clusters(parted, F.reverse("_tokens"))
+    exact = different.where("_a <> _b").select("_line", "_more", F.col("_line").alias("_template"))
+    return exact.union(forward).union(backward).groupBy("_line", "_more").agg(F.min("_template").alias("_template"))
 
 
 def without_recurring_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns to keep as _row, _n_lines, _n_dropped and _kept, the text of the lines that stay."""
     lines = staged(_lines(docs, False), "lines")
-    recurring = staged(recurring_lines(docs, lines).select(F.col("_line").alias("_bad")), "recurring")
-    hits = lines.join(recurring, F.col("_line") == F.col("_bad")).select("_key", "_at")
+    recurring = staged(recurring_lines(docs, lines).select(F.col("_line").alias("_bad"), F.col("_more").alias("_bad_more")), "recurring")
+    hits = lines.join(recurring, (F.col("_line") == F.col("_bad")) & (F.col("_more") == F.col("_bad_more"))).select("_key", "_at")
     # a document's own line numbers only
     dropped = hits.groupBy(F.col("_key").alias("_of")).agg(F.collect_set("_at").alias("_dropped"))
     kept = docs.select(*[f"`{c}`" for c in docs.columns if keep is None or c in keep])
     rows = docs.select(packed(kept), document_key(docs).alias("_key"), docs["text"].alias("_text"))
-    found = rows.join(dropped, F.col("_key") == F.col("_of"), "left")
+    found = rows.hint("merge").join(dropped, F.col("_key") == F.col("_of"), "left")
     split = F.split("_text", "\n")
     left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
     return found.select(
