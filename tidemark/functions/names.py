@@ -97,7 +97,8 @@ def registrable_domain(domain: Column, path: str | None = None) -> Column:
     def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         rules = suffix_rules(path)
         for names in batches:
-            yield names.map({x: registrable_or_self(x, rules) for x in names.unique() if x is not None})
+            known = {x: registrable_or_self(x, rules) for x in names.unique()}
+            yield pd.Series([known[x] for x in names], dtype=object)
 
     return look_up(domain)
 
@@ -113,6 +114,6 @@ def bucket(registrable: Column) -> Column:
     @F.pandas_udf("int")
     def look_up(names: pd.Series) -> pd.Series:
         known = {x: bucket_number(x) for x in names.unique()}
-        return names.map(lambda x: known[x]).astype("int32")
+        return pd.Series([known[x] for x in names], dtype="int32")
 
     return look_up(registrable)

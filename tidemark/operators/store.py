@@ -41,7 +41,7 @@ def append_events(events: DataFrame, path: str, per_bucket: int = 1) -> None:
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """All events, each once: a crash between a delta and its log entry writes a delta twice."""
     rows = spark.read.schema(EVENT).option("pathGlobFilter", "*.parquet").parquet(path)
-    return rows.dropDuplicates(COLUMNS)
+    return rows.dropDuplicates([*COLUMNS, "bucket"])
 
 
 def bucket_of_name(name: str) -> int:
