@@ -10,9 +10,9 @@ text is done after about REGISTERS * ln(REGISTERS) arrivals, however long it is.
 
 Texts with equal words are one node. Nodes that agree in a band of the signature
 share a bucket; all are compared with the bucket's first node, by their full texts, and the
-links make components. What is left are pairs of one bucket in different components:
-those are found with each bucket's largest component on one side, passed
-through an estimate from the signatures, and compared by their full texts, too. So
+links make components. What is left are pairs of one bucket in different components.
+Nodes that have a likely partner among those, by four bits of each register, are
+dealt into blocks, and blocks are compared by full texts, without a row for each pair. So
 every pair that shares a bucket ends up compared or connected; nothing is capped. A pair at
 similarity 0.8 shares no bucket with probability (1 - 0.8^6)^24 < 0.001.
 
@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, packed, staged, table, unpacked
@@ -39,8 +39,8 @@ BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
 #: Pairs whose estimate is further below SIMILAR than this many standard errors aren't compared by text.
 SIGMAS = 4.5
-#: Shingles whose registers are filled at once.
-AT_ONCE = 1 << 16
+#: Shingles whose registers are filled at once, and nodes of a bucket that are compared as one block.
+AT_ONCE, BLOCK = 1 << 16, 64
 
 _U = np.uint64
 _ODD = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 300, dtype=np.uint64) * _U(2) + _U(1)
@@ -143,6 +143,28 @@ def band_keys(owner: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def packed_nibbles(owner: np.ndarray) -> np.ndarray:
+    """Four bits of each register, sixteen registers to a 64-bit integer."""
+    bits = (mixed(owner) >> _U(60)).reshape(-1, 16) << (_U(4) * np.arange(16, dtype=np.uint64))
+    return np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+
+
+#: That four bits agree at SIMILAR, and the least number of registers in which they must.
+_AGREE = SIMILAR + (1 - SIMILAR) / 16
+LEAST_AGREE = math.ceil(_AGREE * REGISTERS - SIGMAS * math.sqrt(_AGREE * (1 - _AGREE) * REGISTERS))
+
+
+def likely(a: Column, b: Column) -> Column:
+    """Whether packed signatures agree in enough registers to be SIMILAR within SIGMAS standard errors."""
+    differ = F.lit(0)
+    for i in range(REGISTERS // 16):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= REGISTERS - LEAST_AGREE
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard: the sum over common i of 1 / sum_j max(a_j / a_i, b_j / b_i)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -168,13 +190,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if group and (x is None or held + len(x[0]) > AT_ONCE):
                 for k, owner in zip(group, signatures([sets[k][:2] for k in group]), strict=True):
                     bands[k] = band_keys(owner)
-                    small[k] = (mixed(owner) >> _U(56)).astype(np.uint8).tobytes()
+                    small[k] = packed_nibbles(owner)
                 group, held = [], 0
             if x is not None and len(x[0]):
                 group.append(i)
                 held += len(x[0])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], names=["_id", "_digest", "_bands", "_small"]
+            [batch.column("_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64()))], names=["_id", "_digest", "_bands", "_small"]
         )
 
 
@@ -190,15 +212,63 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), found], names=["_a", "_b", "_similarity"])
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree in enough registers to be SIMILAR within SIGMAS standard errors."""
-    least = (SIMILAR - SIGMAS * math.sqrt(SIMILAR * (1 - SIMILAR) / REGISTERS)) * REGISTERS
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of a bucket, one for each node and component of the other.
+
+    A pair that shares several buckets is compared in the first of them.
+    """
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS) for c in ("_small_a", "_small_b"))
-        keep = pa.array((a == b).sum(axis=1) >= least)
-        yield pa.RecordBatch.from_arrays([batch.column("_a").filter(keep), batch.column("_b").filter(keep)], names=["_a", "_b"])
+        left, right = [], []
+        for band, xs, ys in zip(batch.column("_band").to_pylist(), batch.column("_xs").to_pylist(), batch.column("_ys").to_pylist(), strict=True):
+            xb, yb = (np.array([m["_bands"] for m in side]) for side in (xs, ys))
+            xw, yw = (np.array([m["_small"] for m in side]) for side in (xs, ys))
+            same = xb[:, None, :] == yb[None, :, :]
+            first = np.where(same.any(axis=2), xb[np.arange(len(xs))[:, None], same.argmax(axis=2)], band - 1) == band
+            nibbles = np.bitwise_xor(xw[:, None, :], yw[None, :, :])
+            nibbles |= (nibbles >> 1) & 0x7777777777777777
+            nibbles |= (nibbles >> 2) & 0x3333333333333333
+            agree = REGISTERS - np.bitwise_count(nibbles & 0x1111111111111111).sum(axis=2)
+            for i, x in enumerate(xs):
+                met = {x["_root"]}
+                for j in np.flatnonzero(first[i] & (agree[i] >= LEAST_AGREE)):
+                    y = ys[j]
+                    if y["_root"] not in met and similarity(_shingles_of(x["_text"]), _shingles_of(y["_text"])) >= SIMILAR:
+                        met.add(y["_root"])
+                        left.append(min(x["_node"], y["_node"]))
+                        right.append(max(x["_node"], y["_node"]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["_a", "_b"])
+
+
+def leftover_links(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between nodes of one bucket that are still in different components.
+
+    placed: _band, _node, _root. Pairs within a bucket's largest component need no
+    look. Nodes without a likely partner are left out by semi-joins; the others
+    are dealt into blocks of about BLOCK nodes, and blocks, not pairs, are joined.
+    """
+    by_root = placed.groupBy("_band", "_root").agg(F.count(F.lit(1)).alias("_n"))
+    torn = by_root.groupBy("_band").agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), F.count(F.lit(1)).alias("_roots")).where("_roots > 1")
+    rows = placed.join(torn.select(F.col("_band").alias("_in"), "_main"), F.col("_band") == F.col("_in"))
+    rows = rows.join(nodes.select(F.col("_node").alias("_n"), "_small", "_bands"), F.col("_node") == F.col("_n"))
+    rows = staged(rows.select("_band", "_node", "_root", "_small", "_bands", (F.col("_root") != F.col("_main")).alias("_out")), "torn")
+
+    def partners(side: DataFrame, others: DataFrame) -> DataFrame:
+        other = others.select(F.col("_band").alias("_of"), F.col("_root").alias("_its_root"), F.col("_small").alias("_its_small"))
+        return side.join(other, (F.col("_band") == F.col("_of")) & (F.col("_root") != F.col("_its_root")) & likely(F.col("_small"), F.col("_its_small")), "left_semi")
+
+    members = staged(partners(rows.where("_out"), rows).union(partners(rows.where("NOT _out"), rows.where("_out"))), "open")
+    sizes = members.groupBy(F.col("_band").alias("_of"), F.col("_out").alias("_side")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    dealt = members.join(sizes, (F.col("_band") == F.col("_of")) & (F.col("_out") == F.col("_side"))).withColumn("_block", F.pmod(F.xxhash64("_node"), F.col("_blocks")))
+    with_text = dealt.join(texts.toDF("_id", "_text"), F.col("_node") == F.col("_id"))
+    # a block holds about BLOCK nodes, however large the bucket
+    blocks = staged(with_text.groupBy("_band", "_out", "_block").agg(F.collect_list(F.struct("_node", "_root", "_small", "_bands", "_text")).alias("_xs")), "blocks")
+    outside = blocks.where("_out").drop("_out")
+    inside = blocks.where("NOT _out").select(F.col("_band").alias("_of"), F.col("_xs").alias("_ys"))
+    second = outside.select(F.col("_band").alias("_of"), F.col("_block").alias("_other"), F.col("_xs").alias("_ys"))
+    pairs = outside.join(inside, F.col("_band") == F.col("_of")).select("_band", "_xs", "_ys").union(
+        outside.join(second, (F.col("_band") == F.col("_of")) & (F.col("_block") <= F.col("_other"))).select("_band", "_xs", "_ys")
+    )
+    return pairs.mapInArrow(_block_links, "_a long, _b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -234,7 +304,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, class_id, the least doc_id it is connected with."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("_text"))
-    sketches = staged(rows.where("_id IS NOT NULL").mapInArrow(_sketches, "_id long, _digest binary, _bands array<long>, _small binary"), "sketches")
+    sketches = staged(rows.where("_id IS NOT NULL").mapInArrow(_sketches, "_id long, _digest binary, _bands array<long>, _small array<long>"), "sketches")
     nodes = staged(
         sketches.where("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_node"), F.first(F.struct("_bands", "_small")).alias("_s")).select("_digest", "_node", "_s.*"),
         "nodes",
@@ -248,19 +318,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     links = staged(similar_links(stars, texts), "links")
     roots = components(links)
 
-    placed = shared.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    by_root = placed.groupBy("_band", "_root").agg(F.count(F.lit(1)).alias("_n"))
-    torn = by_root.groupBy("_band").agg(F.max_by("_root", F.struct("_n", "_root")).alias("_main"), F.count(F.lit(1)).alias("_roots")).where("_roots > 1").select(F.col("_band").alias("_in"), "_main")
-    rest = staged(placed.join(torn, F.col("_band") == F.col("_in")).select("_band", "_node", "_root", "_main"), "rest")
-    outside = rest.where("_root <> _main").select(F.col("_band").alias("_of"), F.col("_node").alias("_x"), F.col("_root").alias("_x_root"))
-    open_pairs = rest.join(outside, (F.col("_band") == F.col("_of")) & (F.col("_root") != F.col("_x_root")) & ((F.col("_root") == F.col("_main")) | (F.col("_node") < F.col("_x"))))
-    open_pairs = open_pairs.select(F.least("_node", "_x").alias("_a"), F.greatest("_node", "_x").alias("_b")).distinct().join(stars, ["_a", "_b"], "left_anti")
-    small = nodes.select("_node", "_small")
-    likely = (
-        open_pairs.join(small.toDF("_id_a", "_small_a"), F.col("_a") == F.col("_id_a")).join(small.toDF("_id_b", "_small_b"), F.col("_b") == F.col("_id_b"))
-        .select("_a", "_b", "_small_a", "_small_b").mapInArrow(_likely, "_a long, _b long")
-    )
-    more = staged(similar_links(likely, texts), "links")
+    placed = shared.join(roots, "_node", "left").select("_band", "_node", F.coalesce("_root", "_node").alias("_root"))
+    more = staged(leftover_links(placed, nodes, texts), "links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("_root").alias("_a"), F.col("_node").alias("_b")).union(more))
 
