@@ -314,7 +314,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     shared = staged(in_bands.join(leaders, "_band").select("_band", "_node", "_leader"), "buckets")
     stars = staged(shared.where("_node <> _leader").select(F.col("_leader").alias("_a"), F.col("_node").alias("_b")).distinct(), "stars")
     wanted = shared.select("_node").distinct().withColumnRenamed("_node", "_wanted")
-    texts = staged(rows.join(wanted, F.col("_id") == F.col("_wanted")).select("_id", "_text"), "texts")
+    # shuffled at every size: what is wanted grows with the input
+    texts = staged(rows.hint("merge").join(wanted, F.col("_id") == F.col("_wanted")).select("_id", "_text"), "texts")
     links = staged(similar_links(stars, texts), "links")
     roots = components(links)
 
@@ -332,7 +333,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, the one with the least doc_id, all columns as they were."""
     gone = near_classes(docs).where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     rows = docs.select(packed(docs), docs["doc_id"].cast("long").alias("_id"))
-    return unpacked(rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti"))
+    return unpacked(rows.hint("merge").join(gone, F.col("_id") == F.col("_gone"), "left_anti"))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
