@@ -125,7 +125,7 @@ def mixed_documents(docs: DataFrame, source: str = "source", seed: int = 7) -> D
     text = F.col("_row.text")
     cut = F.when(F.col("_copy.words") < F.col("_size"), first_words(text, F.col("_copy.words"))).otherwise(text)
     rows = due.select(F.col("_row").withField("text", cut).alias("_row"), F.col("_copy.position").alias("_position"))
-    return unpacked(rows.repartitionByRange("_position").sortWithinPartitions("_position"))
+    return unpacked(rows.repartitionByRange("_position", "_row.doc_id").sortWithinPartitions("_position", "_row.doc_id"))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
@@ -134,4 +134,5 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
         "_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         F.col("_taken").alias("taken"), F.get("_copies", F.lit(0))["position"].alias("position"),
     )
-    return rows.repartitionByRange("position").sortWithinPartitions("position")
+    # what is not taken has no position; the id spreads it over ranges
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
