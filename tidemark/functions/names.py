@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_package
+
 #: Fixed value: how many buckets the event store has.
 BUCKETS = 256
 #: Where systems keep the Public Suffix List; PUBLIC_SUFFIX_LIST overrides it.
@@ -92,6 +94,7 @@ def registrable_or_self(domain: str | None, rules: SuffixRules) -> str | None:
 
 def registrable_domain(domain: Column, path: str | None = None) -> Column:
     """registrable_or_self in Arrow batches; each different name of a batch is looked up once."""
+    ship_package()
 
     @F.pandas_udf("string")
     def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -110,6 +113,7 @@ def bucket_number(registrable: str | None) -> int:
 
 def bucket(registrable: Column) -> Column:
     """bucket_number in Arrow batches."""
+    ship_package()
 
     @F.pandas_udf("int")
     def look_up(names: pd.Series) -> pd.Series:

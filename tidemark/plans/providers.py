@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_package
+
 #: The least count, the confidence of a guess, and what is cut from names, the first match of each.
 LEAST, GUESS = 100, 45
 PREFIXES = ("spf.", "spf1.", "spf2.", "mail.spf.", "mail.", "smtp.", "relay.")
@@ -27,6 +29,8 @@ def readable(name: str) -> str:
 
 
 def readable_name(name: Column) -> Column:
+    ship_package()
+
     @F.pandas_udf("string")
     def run(names: pd.Series) -> pd.Series:
         return names.map(readable, na_action="ignore")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +16,21 @@ def session(name: str = "tidemark", **settings: str) -> SparkSession:
     for key, value in {**fixed, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Give this package to the Python workers of all executors, once for each application.
+
+    The archive is made on the driver, and Spark's own file server hands it out.
+    """
+    spark = spark or SparkSession.active()
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", None) == context.applicationId:
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp()) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = context.applicationId
