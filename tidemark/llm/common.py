@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_package
+
 #: The white space that separates words in every contract here.
 WHITE = "\\x20\\x09-\\x0D"
 #: A word as a Java, Python and DuckDB regular expression.
@@ -50,7 +52,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, by rows and by bytes."""
+    """Before Python runs: give workers the package, and bound what one holds at once, by rows and by bytes."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
