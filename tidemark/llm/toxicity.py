@@ -2,7 +2,9 @@
 
 Terms are lower-cased words and their first 4 and 6 letters. The vocabulary holds
 the terms that labelled documents tie to label 1 beyond chance: n * KL(rate, base)
-above the logarithm of the number of terms tested. Texts are TF-IDF vectors over
+above the logarithm of the number of terms tested, where n first counts documents and
+then different neighbourhoods (the words before and after), so that copies and shared
+passages count once. Texts are TF-IDF vectors over
 it, with document frequencies counted in all documents. The k labelled examples of
 the largest cosine are found exactly by an inverted index whose postings are cut
 into blocks: a block's largest weights bound what any of its examples can reach, and blocks
@@ -20,12 +22,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +62,28 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _kl(p: float, q: float) -> float:
-    return (p * math.log(p / q) if p > 0 else 0.0) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0.0)
+def _neighbourhoods(number: dict[str, int]):
+    """A row for each place of a term: term, a hash of the words around it, label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, around, labels = [], [], []
+            for text, label in zip(batch.column("_text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
+                words = ["", *words_of((text or "").lower()), ""]
+                for before, word, after in zip(words, words[1:], words[2:], strict=False):
+                    for t in terms_of(word):
+                        if t in number:
+                            terms.append(number[t])
+                            around.append(zlib.crc32(f"{before} {after}".encode()))
+                            labels.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(around, pa.int64()), pa.array(labels, pa.int64())], names=["term", "around", "label"])
+
+    return run
+
+
+def _gain(n: Column, toxic: Column, base: float) -> Column:
+    rate = toxic / n
+    return n * (F.when(rate > 0, rate * F.log(rate / base)).otherwise(0.0) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0))
 
 
 def vector(text: str, number: dict[str, int]) -> dict[int, float]:
@@ -166,11 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         return Model({}, [], [], (1.0, 1.0), toxic / n if n else 0.0)
     base = toxic / n
     counted = sample.mapInArrow(_label_counts, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-    rate = F.col("n_toxic") / F.col("n")
-    gain = F.col("n") * (rate * F.log(rate / base) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0))
-    seen = F.count(F.lit(1))
-    tested = counted.agg(seen).first()[0]
-    terms = [r[0] for r in counted.where(rate > base).withColumn("gain", gain).where(F.col("gain") > math.log(max(tested, 2))).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).select("term").collect()]
+    tested = counted.count()
+    enough = math.log(max(tested, 2))
+    likely = counted.where(F.col("n_toxic") > base * F.col("n")).withColumn("gain", _gain(F.col("n"), F.col("n_toxic"), base)).where(F.col("gain") > enough)
+    tried = [r[0] for r in likely.orderBy(F.desc("gain"), "term").limit(4 * MAX_TERMS).select("term").collect()]
+    places = sample.mapInArrow(_neighbourhoods({t: i for i, t in enumerate(tried)}), "term long, around long, label long")
+    places = places.groupBy("term", "around").agg((F.avg("label") > 0.5).cast("long").alias("toxic")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n_toxic"))
+    firm = places.where(F.col("n_toxic") > base * F.col("n")).withColumn("gain", _gain(F.col("n"), F.col("n_toxic"), base)).where(F.col("gain") > enough)
+    terms = [tried[r[0]] for r in firm.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).select("term").collect()]
     number = {t: i for i, t in enumerate(terms)}
     found = texts.select("_text").mapInArrow(_frequency_counts(number), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     frequency = {r[0]: r[1] for r in found}
