@@ -7,7 +7,7 @@ months, so there each day becomes three months of a stretched calendar.
 from __future__ import annotations
 
 import datetime
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from tidemark.functions.mail import raw_addresses, spf_includes, spf_posture, sp
 from tidemark.functions.names import approximate_registrable, bucket, plain_host, registrable_domain, reversed_domain
 from tidemark.operators import diff, history, store
 from tidemark.plans import adoption, metrics, providers, state_reports, validation
+from tidemark.session import shared_dir
 from tidemark.sources import snapshots
 from tidemark.sources.sample_tables import raw_rows
 
@@ -599,7 +600,6 @@ def correctness_check(spark, sf_dir):
 @query(f"WITH {EV} SELECT domain, query_type, measurement_date, {LISTS} FROM ev WHERE domain = '{HOST}.'")
 def store_point_lookup(spark, sf_dir):
     """Events written to a store by bucket and read back for one host, from one bucket's folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{root.rstrip('/')}/events-{datetime.datetime.now():%H%M%S%f}"
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     store.append_events(diff.with_keys(events(spark, sf_dir)), path)
     return _flat_events(store.of_domain(store.read_events(spark, path), HOST)).select("domain", "query_type", "measurement_date", "value", "prev_value")
