@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ship_package
+from tidemark.session import shared_dir, ship_package
 
 #: The white space that separates words in every contract here.
 WHITE = "\\x20\\x09-\\x0D"
@@ -24,20 +24,6 @@ BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only a local master may go
-    without that setting; a cluster has no folder that could be guessed.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "/tmp/checkpoints"
-    return found.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again.
 
