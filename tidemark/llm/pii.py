@@ -220,16 +220,16 @@ def _email(value: str, step: Step) -> str | None:
 _NAMES = "|".join(MONTHS)
 FINDERS: tuple[tuple[str, re.Pattern, Callable[[str, Step], str | None]], ...] = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?!\w)"), _iban),
-    ("card", re.compile(r"(?<![\w.-])[2-6](?:[ -]?[0-9]){12,18}(?![\w-])"), _card),
-    ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn),
-    ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-])"), _phone),
-    ("ip", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"), _ip),
+    ("card", re.compile(r"(?<!\w)(?<![0-9][.-])[2-6](?:[ -]?[0-9]){12,18}(?!\w|[.-][0-9])"), _card),
+    ("ssn", re.compile(r"(?<!\w)(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w|-[0-9])"), _ssn),
+    ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?!\w|-[0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w|-[0-9])"), _phone),
+    ("ip", re.compile(r"(?<!\w)(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"), _ip),
     (
         "date",
-        re.compile(rf"(?<![\w./-])(?:[0-9]{{4}}([-/.])[0-9]{{1,2}}\1[0-9]{{1,2}}|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\2[0-9]{{4}}|[0-9]{{1,2}} (?:{_NAMES}),? [0-9]{{4}}|(?:{_NAMES}) [0-9]{{1,2}},? [0-9]{{4}})(?![\w/-]|\.[0-9])"),
+        re.compile(rf"(?<!\w)(?<![0-9][./-])(?:[0-9]{{4}}([-/.])[0-9]{{1,2}}\1[0-9]{{1,2}}|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\2[0-9]{{4}}|[0-9]{{1,2}} (?:{_NAMES}),? [0-9]{{4}}|(?:{_NAMES}) [0-9]{{1,2}},? [0-9]{{4}})(?!\w|[./-][0-9])"),
         _date,
     ),
-    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\w-])"), _email),
+    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"), _email),
 )
 DIGIT = re.compile("[0-9]")
 
