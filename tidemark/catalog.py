@@ -30,13 +30,18 @@ SUFFIX, HOST = "d1.nl", "m1.d1.nl"
 
 # ---------------------------------------------------------------- frames
 
+def found_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """day, query_name, query_type, val."""
+    raw = raw_rows(spark, sf_dir).withColumn("query_name", F.struct("day", "query_name"))
+    return snapshots.answers(raw).select("query_name.day", "query_name.query_name", "query_type", "val")
+
+
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_rows(spark, sf_dir)
-    return snapshots.daily_values(snapshots.answers(raw.withColumn("query_name", F.struct("day", "query_name"))).select("query_name.day", "query_name.query_name", "query_type", "val"), "day")
+    return snapshots.daily_values(found_rows(spark, sf_dir), "day")
 
 
 def events(spark: SparkSession, sf_dir: str, grace: int = 0) -> DataFrame:
-    return diff.history_diff(snapshot(spark, sf_dir), grace)
+    return diff.history_diff(snapshot(spark, sf_dir), grace, measured=found_rows(spark, sf_dir))
 
 
 def named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +58,9 @@ def sourced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stretched_counts(spark: SparkSession, sf_dir: str):
-    days = snapshot(spark, sf_dir).withColumn("day", F.add_months(F.lit("2016-01-01").cast("date"), F.datediff("day", F.lit("2024-01-01")) * 3))
-    return adoption.monthly_counts(diff.history_diff(days), *MONTHS)
+    far = F.add_months(F.lit("2016-01-01").cast("date"), F.datediff("day", F.lit("2024-01-01")) * 3)
+    days, measured = (df(spark, sf_dir).withColumn("day", far) for df in (snapshot, found_rows))
+    return adoption.monthly_counts(diff.history_diff(days, measured=measured), *MONTHS)
 
 
 def mx_names(spark: SparkSession) -> DataFrame:

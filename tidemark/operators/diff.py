@@ -28,14 +28,15 @@ def _event(day: Column, value: Column, before: Column) -> Column:
     return F.struct(day.alias("measurement_date"), value.alias("value"), before.alias("prev_value"))
 
 
-def history_diff(snapshots: DataFrame, grace: int = 0) -> DataFrame:
+def history_diff(snapshots: DataFrame, grace: int = 0, measured: DataFrame | None = None) -> DataFrame:
     """snapshots (day, domain, query_type, value) to domain, query_type, measurement_date, value, prev_value.
 
     A key has one row a day at most, so no window partition is larger than the
-    number of days. The table of days is bounded by the calendar.
+    number of days. The table of days is bounded by the calendar. Pass the rows that
+    snapshots were made from as `measured` to take the days from there, before any shuffle.
     """
     by_day = Window.orderBy("day")
-    days = snapshots.select("day").distinct().select(
+    days = (snapshots if measured is None else measured).select("day").distinct().select(
         "day", F.row_number().over(by_day).alias("i"), F.lead("day").over(by_day).alias("next_day"), F.max("day").over(Window.partitionBy()).alias("last_day")
     )
     key = Window.partitionBy("domain", "query_type").orderBy("day")
