@@ -132,4 +132,4 @@ def classified(events: DataFrame) -> DataFrame:
     )
     key = Window.partitionBy("domain", "query_type").orderBy("measurement_date", F.col("value").isNotNull())
     typed = events.withColumn("event_type", kind)
-    return typed.withColumn("next_type", F.lead("event_type").over(key)).withColumn("next_date", F.lead("measurement_date").over(key))
+    return typed.select("*", F.lead("event_type").over(key).alias("next_type"), F.lead("measurement_date").over(key).alias("next_date"))

@@ -102,8 +102,13 @@ def read_day(spark: SparkSession, root: str, pairs: list[tuple[str, str]], day:
 
 
 def daily_values(found: DataFrame, *keys: str) -> DataFrame:
-    """One row per name and type (and keys): the sorted different values. Names are lower-cased."""
-    return found.groupBy(*keys, F.lower("query_name").alias("domain"), "query_type").agg(F.array_sort(F.collect_set("val")).alias("value"))
+    """One row per name and type (and keys): the sorted different values. Names are lower-cased.
+
+    Rows are dealt by name and type once; the aggregation here and the windows and
+    joins by key that follow need no further shuffle.
+    """
+    rows = found.select(*keys, F.lower("query_name").alias("domain"), "query_type", "val").repartition("domain", "query_type")
+    return rows.groupBy(*keys, "domain", "query_type").agg(F.array_sort(F.collect_set("val")).alias("value"))
 
 
 def history_rows(spark: SparkSession, root: str, basis: str, since: datetime.date, names: list[str] | None = None, suffix: str | None = None) -> DataFrame:
