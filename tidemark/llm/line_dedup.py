@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import packed, staged, table, unpacked
 
-LEADING, MIN_TOKENS, LITERAL, PART = 3, 5, 0.6, 1 << 16
+LEADING, MIN_TOKENS, LITERAL, PART, SALTS = 3, 5, 0.6, 1 << 16, 16
 WILD = "<*>"
 
 
@@ -66,7 +66,10 @@ def _clusters(lines: DataFrame, order: Column) -> DataFrame:
 def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """_line, _more and _template of all lines whose template recurs across documents."""
     leaves = staged(lines.groupBy("_leaf").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a <> _b").select("_leaf"), "leaves")
-    within = _lines(docs, True).hint("merge").join(leaves, "_leaf", "left_semi")
+    # a leaf may hold a third of all lines; its rows are dealt over SALTS keys
+    salted = leaves.select("_leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    dealt = _lines(docs, True).withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
+    within = dealt.hint("merge").join(salted, ["_leaf", "_salt"], "left_semi")
     different = staged(within.groupBy("_leaf", "_line", "_more").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.first("_text").alias("_text")), "different-lines")
     several = different.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_leaf").alias("_of"), F.ceil(F.col("_n") / PART).alias("_parts"))
     parted = different.join(several, F.col("_leaf") == F.col("_of")).select(
