@@ -42,7 +42,8 @@ def features(text: bytes) -> list[float]:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat, n_lines = text_counts(text)
     words, chars = max(n_words, 1), max(word_chars, 1)
     shares = [math.sqrt((len(text) - len(text.translate(None, g))) / chars) for g in GROUPS]
-    distinct = len(set(text.split())) / words
+    # of the vocabulary, a measure that hardly depends on length
+    distinct = math.log1p(len(set(text.split()))) / math.log1p(words)
     return [
         1.0, math.log1p(n_words), min(word_chars / words, 40.0) / 10, min(n_symbols / words, 4.0), n_dup_lines / max(n_lines, 1), n_repeat / words,
         math.log1p(n_lines), distinct, *shares,
