@@ -37,6 +37,7 @@ from tidemark.llm.common import bounded_batches, fold, packed, table
 #: Bounds of what is learnt from; both bound what is broadcast, too.
 MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS = 20_000, 2_048, 2_000
 NEIGHBOURS, BLOCK = 15, 64
+KNOWN_WORDS, KNOWN_VECTORS = 400_000, 20_000
 #: Weight of the base rate among the votes.
 SHRINK = 0.25
 
@@ -86,26 +87,45 @@ def _gain(n: Column, toxic: Column, base: float) -> Column:
     return n * (F.when(rate > 0, rate * F.log(rate / base)).otherwise(0.0) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0))
 
 
-def vector(text: str, number: dict[str, int]) -> dict[int, float]:
-    """Term frequencies, damped, by the term's number."""
-    out: Counter = Counter()
-    for word, n in Counter(words_of(text.lower())).items():
-        for t in terms_of(word):
-            i = number.get(t)
-            if i is not None:
-                out[i] += n
-    return {i: 1 + math.log(n) for i, n in out.items()}
+class Terms:
+    """Finds the vocabulary's terms in words; remembers which words have any, KNOWN_WORDS at most."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number, self.seen, self.having, self.of = number, set(), set(), {}
+
+    def found(self, words: set[str]) -> set[str]:
+        """The words that have terms; self.of tells which."""
+        new = words - self.seen
+        if len(new) + len(self.seen) > KNOWN_WORDS:
+            self.seen, self.having, self.of, new = set(), set(), {}, words
+        for word in new:
+            numbers = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+            if numbers:
+                self.of[word] = numbers
+                self.having.add(word)
+        self.seen |= new
+        return words & self.having
+
+    def vector(self, text: str) -> dict[int, float]:
+        """Term frequencies, damped, by the term's number."""
+        words = words_of(text.lower())
+        out: Counter = Counter()
+        if few := self.found(set(words)):
+            for word, n in Counter(w for w in words if w in few).items():
+                for i in self.of[word]:
+                    out[i] += n
+        return {i: 1 + math.log(n) for i, n in sorted(out.items())}
 
 
 def _frequency_counts(number: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, rows = Counter(), 0
+        counts, rows, terms = Counter(), 0, Terms(number)
         for batch in batches:
             for text in batch.column("_text").to_pylist():
                 rows += 1
-                found.update({number[t] for w in set(words_of((text or "").lower())) for t in terms_of(w) if t in number})
-        found[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+                counts.update({i for w in terms.found(set(words_of((text or "").lower()))) for i in terms.of[w]})
+        counts[-1] = rows
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
     return run
 
@@ -132,18 +152,22 @@ class BlockMaxIndex:
         return {i: x * self.idf[i] / length for i, x in v.items()}
 
     def nearest(self, v: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """(cosine, example) of the k largest cosines over 0; of equal ones the earlier examples."""
+        """(cosine, example) of the k largest cosines over 0; of equal ones those of the block with the larger bound, then the earlier."""
         unit = self.unit(v)
         terms, q = list(unit), np.array(list(unit.values()))
-        bounds = q @ self.largest[terms]
-        best: list[tuple[float, int]] = []
+        bounds = np.round(q @ self.largest[terms], 12)
+        best, where, least = np.empty(0), np.empty(0, dtype=np.int64), 0.0
         for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
+            if bounds[b] <= least:
                 break
-            cosines = q @ self.weights[terms, b * BLOCK : (b + 1) * BLOCK]
-            near = [(-round(float(cosines[j]), 12), int(b) * BLOCK + int(j)) for j in np.flatnonzero(cosines > 0)]
-            best = sorted(best + near)[:k]
-        return [(-c, j) for c, j in best]
+            cosines = np.round(q @ self.weights[terms, b * BLOCK : (b + 1) * BLOCK], 12)
+            near = np.flatnonzero(cosines > least)
+            best, where = np.concatenate([best, cosines[near]]), np.concatenate([where, b * BLOCK + near])
+            top = np.argsort(-best, kind="stable")[:k]
+            best, where = best[top], where[top]
+            if len(best) == k:
+                least = best[-1]
+        return list(zip(best.tolist(), where.tolist(), strict=True))
 
 
 class Model:
@@ -152,17 +176,29 @@ class Model:
     def __init__(self, number: dict[str, int], idf: list[float], examples: list[tuple[int, int, dict[int, float]]], weights: tuple[float, float], base: float):
         self.number, self.examples, self.weights, self.base, self.idf = number, examples, weights, base, idf
         self._index: BlockMaxIndex | None = None
+        self._terms: Terms | None = None
+        self._known: dict = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_index": None}
+        return self.__dict__ | {"_index": None, "_terms": None, "_known": {}}
 
     def score(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
         """The score and the neighbours: doc_id, cosine, label."""
-        v = vector(text, self.number) if self.number else {}
+        if self._terms is None:
+            self._terms = Terms(self.number)
+        v = self._terms.vector(text) if self.number else {}
         if not v:
             return self.base, []
         if self._index is None:
             self._index = BlockMaxIndex(self.examples, np.array(self.idf))
+        key = tuple(v.items())
+        if key not in self._known:
+            if len(self._known) >= KNOWN_VECTORS:
+                self._known.clear()
+            self._known[key] = self._vote(v)
+        return self._known[key]
+
+    def _vote(self, v: dict[int, float]) -> tuple[float, list[tuple[int, float, int]]]:
         index, votes, total, near = self._index, SHRINK * self.base, SHRINK, []
         for cosine, j in index.nearest(v):
             label = int(index.labels[j])
@@ -203,8 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     idf = [math.log((1 + frequency[-1]) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Terms(number)
         for batch in batches:
-            rows = [list(vector(x or "", number).items()) for x in batch.column("_text").to_pylist()]
+            rows = [list(found.vector(x or "").items()) for x in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id").cast(pa.int64()), batch.column("_label").cast(pa.int64()), pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int64())), pa.array([[x for _, x in r] for r in rows], pa.list_(pa.float64()))],
                 names=["id", "label", "terms", "values"],
