@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +54,12 @@ HEAD = re.compile(
     r"""|<(?P<tag>[A-Za-z_][\w.-]{0,63})>""",
     re.A,
 )
-TERM = re.compile(r'''"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;(){}<>\]+][^\s"'`,;(){}<>\]]*)''')
+#: Characters of a literal at most; what is longer is no secret of a name. It keeps the lexer linear in the text.
+LONGEST = 1024
+_BARE = r'''[^\s"'`,;(){}<>\]]'''
+TERM = re.compile(
+    rf'''"((?:[^"\\\n]|\\.){{0,{LONGEST}}}+)"|'((?:[^'\\\n]|\\.){{0,{LONGEST}}}+)'|`([^`\n]{{0,{LONGEST}}}+)`|((?!\+){_BARE}{{1,{LONGEST}}}+(?!{_BARE}))'''
+)
 PLUS = re.compile(r"[ \t]{0,8}\+\s{0,8}")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -83,7 +90,7 @@ def _expression(text: str, at: int, known: dict) -> tuple[str, list[tuple[int, i
             group = m.lastindex or 4
             value, spans = value + m[group], [*spans, m.span(group)]
         more = PLUS.match(text, m.end())
-        if not more:
+        if not more or len(value) > LONGEST:
             break
         at = more.end()
     return value, spans
@@ -121,8 +128,12 @@ def secret_spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if any(x in low for x in LEXER_STEMS):
-        base = list(found)
-        found += [(a, b, 3) for a, b in lexed_spans(text) if not any(s <= a and b <= e for s, e, _ in base)]
+        starts = sorted(found)
+        reach = list(accumulate((e for _, e, _ in starts), max))  # how far spans that start here or before go
+        for a, b in lexed_spans(text):
+            i = bisect_right(starts, (a, len(text) + 1, 0)) - 1
+            if i < 0 or reach[i] < b:
+                found.append((a, b, 3))
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
