@@ -1,3 +1,5 @@
+import random
+
 from tests.llm.helpers import PROSE, frame, odd
 from tidemark.llm.line_dedup import drop_recurring_lines, without_recurring_lines
 
@@ -44,3 +46,15 @@ def test_repeats_within_a_document_stay(spark):
     text = "this line stands here again and again\n" * 3
     found = without_recurring_lines(frame(spark, [(1, text), (1, text)]), keep=["doc_id"]).collect()
     assert [r._n_dropped for r in found] == [0, 0]
+
+
+def test_template_is_found_among_other_lines(spark):
+    """Fields at the first token behind the leaf and at the end, and lines of the same leaf that sort between."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows = [(i, f"job run for {word()} finished with exit status of {word()}") for i in range(50)]
+    alone = [" ".join(["job", "run", "for", *(word() for _ in range(7))]) for _ in range(2000)]
+    rows += [(100, "\n".join(alone[:1000])), (101, "\n".join(alone[1000:]))]
+    found = {x._row.doc_id: x for x in without_recurring_lines(frame(spark, rows), keep=["doc_id"]).collect()}
+    assert all(found[i]._kept == "" for i in range(50))
+    assert found[100]._n_dropped == found[101]._n_dropped == 0

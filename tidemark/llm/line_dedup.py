@@ -3,12 +3,14 @@
 A line is cut into tokens at spaces, and tokens with a digit become the wildcard.
 The tree has a fixed depth: token count, then the LEADING first tokens. Leaves that
 only one document reaches hold no recurring line and are left out by a cheap
-aggregation. In each other leaf, different lines are put in order, once from the
-front and once from the back; neighbours that agree in LITERAL of their tokens are
-one template, whose other tokens are its variable fields. A template recurs when
-two or more documents have it, as does a line that two or more documents have. Lines
-of recurring templates are dropped from all their documents. A leaf of more than PART
-different lines is dealt into parts.
+aggregation. In each other leaf, the tokens behind the leading ones are cut into BLOCKS
+blocks. A template keeps some blocks with the leading tokens, LITERAL of all tokens at
+least and wildcards not counted; what the other blocks hold are its variable fields. A
+line has every template that keeps as few blocks as that allows, so two lines that
+differ in two blocks (three, where their sizes allow it) share one, whatever other
+lines the leaf holds and however many. A template recurs when two or more documents
+have it, as does a line that two or more documents have. Lines of recurring templates
+are dropped from all their documents.
 
 Lines of fewer than MIN_TOKENS tokens always stay. A null text stays null; a text
 that loses all lines becomes empty. Rows equal in doc_id and text are one
@@ -18,12 +20,17 @@ DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import lru_cache
+from math import ceil
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import packed, staged, table, unpacked
 
-LEADING, MIN_TOKENS, LITERAL, PART, SALTS = 3, 5, 0.6, 1 << 16, 16
+LEADING, MIN_TOKENS, LITERAL, SALTS = 3, 5, 0.6, 16
+#: Blocks of a line, and the token count from which all lines leave out the same sets of them.
+BLOCKS, MANY = 6, 64
 WILD = "<*>"
 
 
@@ -47,20 +54,41 @@ def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
     )
 
 
-def _clusters(lines: DataFrame, order: Column) -> DataFrame:
-    """Lines with _same: how the template of their cluster is called, if two documents or more have it.
+@lru_cache(maxsize=256)
+def masks(n: int) -> list[int]:
+    """Bit sets of the blocks that stay literal in the templates of lines of n tokens.
 
-    Lines of a part stand in order; a line joins the cluster of the one before if
-    LITERAL of their tokens agree place by place.
+    They leave out each set of blocks that cannot be larger: LITERAL of the tokens must be left.
     """
-    part = Window.partitionBy("_leaf", "_part").orderBy(order, "_line", "_more")
-    before = F.lag("_tokens").over(part)
-    agree = F.size(F.array_compact(F.zip_with("_tokens", before, lambda x, y: F.when((x == y) & (x != WILD), True))))
-    begins = F.when(agree >= LITERAL * F.size("_tokens"), 0).otherwise(1)
-    counted = lines.withColumn("_begins", begins).withColumn("_cluster", F.sum("_begins").over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("_leaf", "_part", "_cluster")
-    spread = counted.withColumn("_x", F.min("_a").over(whole)).withColumn("_y", F.max("_b").over(whole)).where("_x <> _y")
-    return spread.select("_line", "_more", F.min("_line").over(whole).alias("_template"))
+    m, spare = n - LEADING, n - ceil(round(LITERAL * n, 9))
+    sizes = [(i + 1) * m // BLOCKS - i * m // BLOCKS for i in range(BLOCKS)]
+    full = sum(1 << i for i in range(BLOCKS) if sizes[i])
+    gone = [x for x in range(1 << BLOCKS) if x & ~full == 0 and sum(sizes[i] for i in range(BLOCKS) if x >> i & 1) <= spare]
+    return sorted(full & ~x for x in gone if not any(x != y and x & y == x for y in gone))
+
+
+def _templates(different: DataFrame) -> DataFrame:
+    """_line, _more, _a, _b and _template: one row for each template of a different line.
+
+    A template is a set of blocks with their tokens, beside the leaf. Lines that have
+    one in common agree in LITERAL of their tokens, whatever else the leaf holds.
+    """
+    tokens = F.split("_text", " ")
+    size = F.size("_tokens")
+    rows = different.select("_leaf", "_line", "_more", "_a", "_b", tokens.alias("_tokens"))
+    bound = [F.floor(i * (size - LEADING) / BLOCKS).cast("int") for i in range(BLOCKS + 1)]
+    blocks = [F.slice("_tokens", bound[i] + (LEADING + 1), bound[i + 1] - bound[i]) for i in range(BLOCKS)]
+    literals = lambda x: F.size(F.array_remove(x, WILD))
+    tables = "array(" + ",".join(f"array({','.join(map(str, masks(n)))})" for n in range(MIN_TOKENS, MANY + 1)) + ")"
+    wanted = F.get(F.expr(tables), F.least(size, F.lit(MANY)) - MIN_TOKENS)
+    hashed = rows.select(
+        "_leaf", "_line", "_more", "_a", "_b", *[F.xxhash64(x).alias(f"_h{i}") for i, x in enumerate(blocks)], *[literals(x).alias(f"_c{i}") for i, x in enumerate(blocks)],
+        (F.ceil(F.round(LITERAL * size, 9)) - literals(F.slice("_tokens", 1, LEADING))).alias("_need"), F.explode(wanted).alias("_mask"),
+    )
+    within = [F.col("_mask").bitwiseAND(1 << i) > 0 for i in range(BLOCKS)]
+    literal = sum((F.when(x, F.col(f"_c{i}")).otherwise(0) for i, x in enumerate(within)), F.lit(0))
+    name = F.xxhash64("_leaf", "_mask", *[F.when(x, F.col(f"_h{i}")) for i, x in enumerate(within)])
+    return hashed.where(literal >= F.col("_need")).select("_line", "_more", "_a", "_b", name.alias("_template"))
 
 
 def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -71,13 +99,12 @@ def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     dealt = _lines(docs, True).withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
     within = dealt.hint("merge").join(salted, ["_leaf", "_salt"], "left_semi")
     different = staged(within.groupBy("_leaf", "_line", "_more").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.first("_text").alias("_text")), "different-lines")
-    several = different.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_leaf").alias("_of"), F.ceil(F.col("_n") / PART).alias("_parts"))
-    parted = different.join(several, F.col("_leaf") == F.col("_of")).select(
-        "_leaf", "_line", "_more", "_a", "_b", F.split("_text", " ").alias("_tokens"), F.pmod(F.xxhash64("_line", "_more"), F.col("_parts")).alias("_part")
-    )
-    forward, backward = _clusters(parted, F.col("_tokens")), _clusters(parted, F.reverse("_tokens"))
+    wide = _templates(different).groupBy("_template").agg(F.min("_a").alias("_x"), F.max("_b").alias("_y")).where("_x <> _y")
+    wide = staged(wide.select(F.col("_template").alias("_of")), "templates")
+    # what recurs exactly is a witness above and needs no template of its own
+    general = _templates(different.where("_a = _b")).join(wide, F.col("_template") == F.col("_of")).select("_line", "_more", "_template")
     exact = different.where("_a <> _b").select("_line", "_more", F.col("_line").alias("_template"))
-    return exact.union(forward).union(backward).groupBy("_line", "_more").agg(F.min("_template").alias("_template"))
+    return exact.union(general).groupBy("_line", "_more").agg(F.min("_template").alias("_template"))
 
 
 def without_recurring_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
