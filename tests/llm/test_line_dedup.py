@@ -58,3 +58,13 @@ def test_template_is_found_among_other_lines(spark):
     found = {x._row.doc_id: x for x in without_recurring_lines(frame(spark, rows), keep=["doc_id"]).collect()}
     assert all(found[i]._kept == "" for i in range(50))
     assert found[100]._n_dropped == found[101]._n_dropped == 0
+
+
+def test_large_leaf_keeps_its_templates(spark):
+    """More lines in a leaf than were once dealt into parts; the templates' lines lie anywhere among them."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    alone = [f"job run for {letters(i)} {letters(i * 7 + 1)} {letters(i * 11 + 2)} {letters(i * 13 + 3)} {letters(i * 17 + 4)} {letters(i * 19 + 5)} {letters(i * 23 + 6)}" for i in range(70_000)]
+    pairs = [[f"job run for user{w} task{w} host{w} ended in state {letters(x)}" for x in (i, i + 1000)] for i, w in enumerate(map(letters, range(20)))]
+    rows = [(i, "\n".join(alone[i * 7000 : (i + 1) * 7000])) for i in range(10)] + [(100 + i, x) for pair in pairs for i, x in enumerate(pair)]
+    found = without_recurring_lines(frame(spark, rows), keep=["doc_id"]).where("_row.doc_id >= 100").collect()
+    assert len(found) == 40 and all(r._kept == "" for r in found)
