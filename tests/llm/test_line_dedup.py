@@ -68,3 +68,13 @@ def test_large_leaf_keeps_its_templates(spark):
     rows = [(i, "\n".join(alone[i * 7000 : (i + 1) * 7000])) for i in range(10)] + [(100 + i, x) for pair in pairs for i, x in enumerate(pair)]
     found = without_recurring_lines(frame(spark, rows), keep=["doc_id"]).where("_row.doc_id >= 100").collect()
     assert len(found) == 40 and all(r._kept == "" for r in found)
+
+
+def test_white_space_does_not_tell_lines_apart(spark):
+    tabbed = "alpha\tbeta\tgamma\tdelta\tepsilon\tzeta"
+    rows = [
+        (1, f"only here stands this line of words\n{tabbed}"), (2, f"{tabbed}\nand this one has no equal in here"),
+        (3, "    the same words stand in this line"), (4, "the same  words stand in this line"), (5, "the same words stand in this line\r"), (6, "\tthe same words\tstand in this line \x0b\x0c"),
+    ]
+    found = {r._row.doc_id: r._kept for r in without_recurring_lines(frame(spark, rows), keep=["doc_id"]).collect()}
+    assert found == {1: "only here stands this line of words", 2: "and this one has no equal in here", 3: "", 4: "", 5: "", 6: ""}

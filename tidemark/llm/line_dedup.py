@@ -1,6 +1,6 @@
 """Line deduplication by a log-template tree.
 
-A line is cut into tokens at spaces, and tokens with a digit become the wildcard.
+A line is cut into tokens at white space, and tokens with a digit become the wildcard.
 The tree has a fixed depth: token count, then the LEADING first tokens. Leaves that
 only one document reaches hold no recurring line and are left out by a cheap
 aggregation. In each other leaf, the tokens behind the leading ones are cut into BLOCKS
@@ -39,14 +39,19 @@ def document_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
+def spaced(text: Column) -> Column:
+    """The text with one space for each run of white space within a line."""
+    return F.when(text.rlike("[\\x09\\x0B-\\x0D]|  "), F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text)
+
+
 def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
 
 
 def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
     """_key, _at, _leaf and the 128-bit name (_line, _more) of each masked line, and the line itself if wanted."""
-    rows = docs.where(docs["text"].isNotNull()).select(document_key(docs).alias("_key"), F.posexplode(F.split(docs["text"], "\n")).alias("_at", "_raw"))
-    cut = rows.select("_key", "_at", masked(F.col("_raw")).alias("_text"))
+    rows = docs.where(docs["text"].isNotNull()).select(document_key(docs).alias("_key"), F.posexplode(F.split(spaced(docs["text"]), "\n")).alias("_at", "_raw"))
+    cut = rows.select("_key", "_at", masked(F.btrim("_raw")).alias("_text"))
     cut = cut.withColumn("_tokens", F.split("_text", " ")).where(F.size("_tokens") >= MIN_TOKENS)
     leaf = F.xxhash64(F.size("_tokens"), *[F.get("_tokens", F.lit(i)) for i in range(LEADING)])
     return cut.select(
@@ -83,8 +88,10 @@ def _templates(different: DataFrame) -> DataFrame:
     wanted = F.get(F.expr(tables), F.least(size, F.lit(MANY)) - MIN_TOKENS)
     hashed = rows.select(
         "_leaf", "_line", "_more", "_a", "_b", *[F.xxhash64(x).alias(f"_h{i}") for i, x in enumerate(blocks)], *[literals(x).alias(f"_c{i}") for i, x in enumerate(blocks)],
-        (F.ceil(F.round(LITERAL * size, 9)) - literals(F.slice("_tokens", 1, LEADING))).alias("_need"), F.explode(wanted).alias("_mask"),
+        (F.ceil(F.round(LITERAL * size, 9)) - literals(F.slice("_tokens", 1, LEADING))).alias("_need"), wanted.alias("_masks"),
     )
+    # exploded apart, or what stands beside explode is computed for each mask
+    hashed = hashed.select("*", F.explode("_masks").alias("_mask"))
     within = [F.col("_mask").bitwiseAND(1 << i) > 0 for i in range(BLOCKS)]
     literal = sum((F.when(x, F.col(f"_c{i}")).otherwise(0) for i, x in enumerate(within)), F.lit(0))
     name = F.xxhash64("_leaf", "_mask", *[F.when(x, F.col(f"_h{i}")) for i, x in enumerate(within)])
