@@ -36,6 +36,17 @@ def test_finds_and_keeps_the_format(text, kinds):
         assert [("9" if c.isdigit() else c) for c in new] == [("9" if c.isdigit() else c) for c in text] or kinds == ["iban"]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("DE89370400440532013000 EUR 500", "DE89370400440532013000"), ("GB82 WEST 1234 5698 7654 32 BY FRIDAY", "GB82 WEST 1234 5698 7654 32"), ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00"),
+        ("4111 1111 1111 1111 12/26", "4111 1111 1111 1111"), ("4111111111111111 123", "4111111111111111"), ("22 4111111111111111", "4111111111111111"),
+    ],
+)
+def test_what_follows_a_value_does_not_hide_it(text, value):
+    assert [text[a:b] for a, b, _, _ in personal_spans(text, STEP)] == [value]
+
+
 def test_equal_values_stay_linked():
     spans = personal_spans("4704604897481321 4704-6048-9748-1321 +1 (202) 555-8391 202-555-8391 2024-02-29 29.02.2024 February 29, 2024", STEP)
     digits = ["".join(c for c in s[3] if c.isdigit()) for s in spans]

@@ -10,6 +10,8 @@ email address is permuted within letters and digits; its domain stays.
 
 Kinds: iban (mod 97), card (Luhn, 13 to 19 digits), ssn (area, group and serial),
 phone (NANP or with +), ip (four octets), date (in the calendar, 1900 to 2099), email.
+A finder takes as much as it can; where that fails validation, shorter ends at token
+borders are tried (iban: the country's length first), then later starts within it.
 Values that fail validation stay as they are. A null text stays null, an empty one
 empty. Repeated rows are treated each alike; an empty table gives an empty result.
 """
@@ -109,6 +111,8 @@ def _iban(value: str, step: Step) -> str | None:
         return None
     account = plain[4:]
     digits = "".join(c for c in account if c.isdigit())
+    if not digits:
+        return None
     account = _laid_out(account, str(step(int(digits), 10 ** len(digits), f"iban{plain[:2]}")).zfill(len(digits)))
     check = 98 - number(account + plain[:2] + "00") % 97
     left = iter(f"{plain[:2]}{check:02d}{account}")
@@ -232,6 +236,37 @@ FINDERS: tuple[tuple[str, re.Pattern, Callable[[str, Step], str | None]], ...] =
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"), _email),
 )
 DIGIT = re.compile("[0-9]")
+#: Kinds whose finders may take tokens that follow a value.
+GREEDY = ("iban", "card", "phone")
+BORDER = re.compile(r"(?<=\w)(?=[ .-])")
+#: The length of an IBAN by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 "
+    "IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SD18 "
+    "SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
+
+
+def _candidates(kind: str, value: str) -> list[int]:
+    """Where a value of this kind may end: at its end and at the token borders before, the longest first."""
+    if kind not in GREEDY:
+        return [len(value)]
+    ends = [len(value), *(m.start() for m in reversed(list(BORDER.finditer(value))))]
+    if kind == "iban":
+        wanted = IBAN_LENGTHS.get(value[:2])
+        ends.sort(key=lambda e: len(value[:e].replace(" ", "")) != wanted)
+    return ends
+
+
+def _found(kind: str, pattern: re.Pattern, change: Callable[[str, Step], str | None], line: str, step: Step) -> Iterator[tuple[int, int, str]]:
+    at = 0
+    while m := pattern.search(line, at):
+        at = m.start() + 1 if kind in GREEDY else m.end()
+        for end in _candidates(kind, m[0]):
+            if (new := change(m[0][:end], step)) is not None:
+                yield m.start(), m.start() + end, new
+                at = m.start() + end
+                break
 
 
 def personal_spans(text: str, step: Step) -> list[tuple[int, int, str, str]]:
@@ -241,9 +276,7 @@ def personal_spans(text: str, step: Step) -> list[tuple[int, int, str, str]]:
         if "@" in line or DIGIT.search(line):
             for rank, (kind, pattern, change) in enumerate(FINDERS):
                 if kind != "email" or "@" in line:
-                    for m in pattern.finditer(line):
-                        if (new := change(m[0], step)) is not None:
-                            found.append((at + m.start(), rank, at + m.end(), kind, new))
+                    found += [(at + start, rank, at + end, kind, new) for start, end, new in _found(kind, pattern, change, line, step)]
         at += len(line) + 1
     out, end = [], 0
     for start, _, stop, kind, new in sorted(found):
