@@ -40,6 +40,24 @@ def test_lexer(text, spans):
     assert joined(secret_spans(text)) == spans
 
 
+def test_long_secrets_are_found_whole():
+    r = random.Random(5)
+    key = "MIIE" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1700))
+    for before, after in (('{"private_key": "', '"}'), ("signing_key=", ""), ("bearer: '", "'"), ("auth_key = `", "`"), ("<private_key>", "</private_key>")):
+        assert (len(before), len(before) + len(key), 3) in secret_spans(before + key + after), before
+    pieces = [key[i : i + 17] for i in range(0, 1700, 17)]
+    assert len([x for x in secret_spans("private_key = " + " + ".join(f'"{p}"' for p in pieces)) if x[2] == 3]) == 100
+    assert len([x for x in secret_spans("k = " + " + ".join(f'"{p}"' for p in pieces) + "\nprivate_key = k") if x[2] == 3]) == 100
+    assert (13, 13 + 3 * 1704, 3) in secret_spans(f"<signing_key>{key * 3}</signing_key>")
+
+
+def test_joined_terms_take_linear_time():
+    for text in ("token=ab1 + " * 20_000, "<token>" * 20_000 + "</token>", "a = b + b\nb = a + a\n" * 5_000 + "token = a"):
+        began = time.process_time()
+        secret_spans(text)
+        assert time.process_time() - began < 10
+
+
 def test_time_is_linear():
     """Texts that invite steps by the square of their length."""
     for text in ("password=" * 20_000, "a." * 50_000 + "password", "x=" * 50_000 + "secret", '"' * 50_000 + "token", "key + " * 30_000, "token=abcdefgh12345;" * 5_000, 'secret="' * 20_000):

@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -54,12 +54,12 @@ HEAD = re.compile(
     r"""|<(?P<tag>[A-Za-z_][\w.-]{0,63})>""",
     re.A,
 )
-#: Characters of a literal at most; what is longer is no secret of a name. It keeps the lexer linear in the text.
-LONGEST = 1024
+#: A value is scored by so many characters of its beginning, which keeps the lexer linear in the text; its spans are whole.
+SCORED = 1024
 _BARE = r'''[^\s"'`,;(){}<>\]]'''
-TERM = re.compile(
-    rf'''"((?:[^"\\\n]|\\.){{0,{LONGEST}}}+)"|'((?:[^'\\\n]|\\.){{0,{LONGEST}}}+)'|`([^`\n]{{0,{LONGEST}}}+)`|((?!\+){_BARE}{{1,{LONGEST}}}+(?!{_BARE}))'''
-)
+QUOTED = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`''')
+BARE = re.compile(f"{_BARE}++")
+CLOSING = re.compile(r"</([A-Za-z_][\w.-]{0,63})>", re.A)
 PLUS = re.compile(r"[ \t]{0,8}\+\s{0,8}")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -74,47 +74,109 @@ def name_weight(name: str) -> float:
 def literal_weight(value: str) -> float:
     if len(value) < 6 or PLACEHOLDER.search(value):
         return -1.0
-    shares = [n / len(value) for n in Counter(value).values()]
+    counts = Counter(value)
+    shares = [n / len(value) for n in counts.values()]
     entropy = -sum(p * math.log2(p) for p in shares)
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return 0.2 * (len(value) >= 8) + 0.3 * (entropy >= 3) + 0.1 * any(map(str.isdigit, value)) + 0.2 * (kinds >= 3) - 0.5 * value.isalpha() - 0.5 * (" " in value)
-
-
-def _expression(text: str, at: int, known: dict) -> tuple[str, list[tuple[int, int]]]:
-    """The value of literals and constants joined by +, and where its literals stand."""
-    value, spans = "", []
-    while m := TERM.match(text, at):
-        if m[4] is not None and m[4] in known:
-            value, spans = value + known[m[4]][0], spans + known[m[4]][1]
-        else:
-            group = m.lastindex or 4
-            value, spans = value + m[group], [*spans, m.span(group)]
-        more = PLUS.match(text, m.end())
-        if not more or len(value) > LONGEST:
-            break
-        at = more.end()
-    return value, spans
+    kinds = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return 0.2 * (len(value) >= 8) + 0.3 * (entropy >= 3) + 0.1 * any(map(str.isdigit, counts)) + 0.2 * (kinds >= 3) - 0.5 * value.isalpha() - 0.5 * (" " in value)
+
+
+class Term:
+    """A literal, or a constant that stands for its own terms, and the term joined to it by +."""
+
+    __slots__ = ("constant", "rest", "said", "seen", "span")
+
+    def __init__(self, span: tuple[int, int], constant: Term | None, said: str):
+        self.span, self.constant, self.said, self.rest, self.seen = span, constant, said, None, False
+
+
+class Expressions:
+    """Reads the expressions of a text; those that share an end share its terms, and a bare run is searched once."""
+
+    def __init__(self, text: str):
+        self.text, self.known, self.terms, self.run = text, {}, {}, (0, 0)
+
+    def _term(self, at: int) -> tuple[Term, int] | None:
+        text = self.text
+        if m := QUOTED.match(text, at):
+            a, b = m.span(m.lastindex or 1)
+            return Term((a, b), None, text[a : min(b, a + SCORED)]), m.end()
+        if not self.run[0] <= at < self.run[1]:
+            if not (m := BARE.match(text, at)):
+                return None
+            self.run = m.span()
+        if text[at] == "+":
+            return None
+        b = self.run[1]
+        if b - at <= 64 and (found := self.known.get(text[at:b])):
+            return Term((at, b), *found), b
+        return Term((at, b), None, text[at : min(b, at + SCORED)]), b
+
+    def read(self, at: int) -> Term | None:
+        first = last = None
+        while True:
+            term, end = self.terms.get(at), -1
+            if term is None and (found := self._term(at)):
+                term, end = found
+                self.terms[at] = term
+            if term is None:
+                return first
+            if last is None:
+                first = term
+            else:
+                last.rest = term
+            if end < 0 or not (more := PLUS.match(self.text, end)):
+                return first
+            last, at = term, more.end()
+
+
+def _beginning(term: Term | None) -> str:
+    parts, room = [], SCORED
+    while term and room > 0:
+        parts.append(term.said[:room])
+        room -= len(parts[-1])
+        term = term.rest
+    return "".join(parts)
+
+
+def _spans(term: Term) -> Iterator[tuple[int, int]]:
+    """Where the literals of a term and of all behind it stand, but for those that were given before."""
+    left = [term]
+    while left:
+        x = left.pop()
+        while x and not x.seen:
+            x.seen = True
+            if x.constant:
+                left.append(x.constant)
+            elif x.span[0] < x.span[1]:
+                yield x.span
+            x = x.rest
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, in their order, each once."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    read = Expressions(text)
+    closing: dict[str, list[int]] | None = None
     found = set()
     for m in HEAD.finditer(text):
         if m["tag"]:
-            end = text.find(f"</{m['tag']}>", m.end(), m.end() + 4096)
-            if end < 0:
+            if closing is None:
+                closing = {}
+                for x in CLOSING.finditer(text):
+                    closing.setdefault(x[1], []).append(x.start())
+            ends = closing.get(m["tag"], [])
+            i = bisect_left(ends, m.end())
+            if i == len(ends):
                 continue
-            name, value, spans = m["tag"], text[m.end() : end], [(m.end(), end)]
+            name, term = m["tag"], Term((m.end(), ends[i]), None, text[m.end() : min(ends[i], m.end() + SCORED)])
         else:
-            name = m["name"]
-            value, spans = _expression(text, m.end(), known)
-        if not spans or not value:
+            name, term = m["name"], read.read(m.end())
+        if not (value := _beginning(term)):
             continue
-        known[name] = (value[:4096], spans[:64])
+        read.known[name] = (term, value)
         weight = name_weight(name)
         if weight and weight + literal_weight(value) >= ENOUGH:
-            found.update(x for x in spans if x[0] < x[1])
+            found.update(_spans(term))
     return sorted(found)
 
 
