@@ -48,6 +48,14 @@ def test_caches_are_bounded(pair, monkeypatch):
     assert ids(ours, text) == theirs.encode_ordinary(text) and len(ours.pieces) <= 3
 
 
+def test_another_pattern_holds_for_ascii_texts():
+    from tidemark.llm.byte_bpe import ByteBpe
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256}
+    assert ByteBpe(ranks, r".").encode("ab") == b"a\0\0\0b\0\0\0"
+    assert ByteBpe(ranks, public_tokenizers.PATTERN).encode("ab") == (256).to_bytes(4, "little")
+
+
 def test_odd_rows(spark, pair):
     ours, _ = pair
     df = odd(spark)

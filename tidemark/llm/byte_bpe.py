@@ -54,6 +54,14 @@ def merged(piece: bytes, ranks: dict[bytes, int], parts: int = 1) -> list[bytes]
     return out
 
 
+def _public_pattern() -> str | None:
+    try:
+        from public_tokenizers import PATTERN
+    except ModuleNotFoundError:
+        return None
+    return PATTERN
+
+
 class ByteBpe:
     """Encodes and decodes by a file of ranks and a pattern."""
 
@@ -73,7 +81,8 @@ class ByteBpe:
         self.finder.make_automaton()
         self.sizes = [len(x) for x in self.entries]
         self.split = regex.compile(pattern).findall
-        self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
+        # the ASCII form stands for the public pattern alone
+        self.split_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall if pattern == _public_pattern() else self.split
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
 
