@@ -73,3 +73,48 @@ def test_ingest_stream(spark, tmp_path):
     found = spark.createDataFrame([(DAY, "a.nl.", "MX", "m1")], "day date, query_name string, query_type string, val string")
     assert ingest_days(spark, found, str(tmp_path / "out")) == 0
     assert spark.read.parquet(str(tmp_path / "out/state")).count() == 2
+
+
+def test_stream_with_split_and_late_days(spark, tmp_path):
+    """A day in two files gives the events of one; a row of a day that is done is kept apart."""
+    from tidemark.streaming.ingest import late_rows
+
+    def two(n):
+        return DAY + datetime.timedelta(n)
+
+    schema, source = f"day date, {RAW}", str(tmp_path / "in")
+    files = [
+        [(two(0), "a.nl.", "MX", "m1", None), (two(0), "b.nl.", "MX", "m1", None), (two(1), "b.nl.", "MX", "m1", None)],
+        [(two(1), "a.nl.", "MX", "m2", None), (two(2), "a.nl.", "MX", "m2", None)],
+        [(two(0), "c.nl.", "MX", "m9", None), (two(2), "b.nl.", "MX", "m1", None)],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    ingest_stream(raw, out, str(tmp_path / "check"), close_last=False)
+    expected = [("a.nl.", "2024-01-01", ["m1"], None), ("a.nl.", "2024-01-02", ["m2"], ["m1"]), ("b.nl.", "2024-01-01", ["m1"], None)]
+    found = lambda: sorted((r.domain, str(r.measurement_date), r.value, r.prev_value) for r in spark.read.parquet(f"{out}/events").collect())
+    assert found() == expected
+    assert snapshots.last_date(spark, f"{out}/ingest_log.json") == two(1)  # the third day waits
+    assert [(r.query_name, r.val) for r in late_rows(spark, out).collect()] == [("c.nl.", "m9")]
+    spark.createDataFrame([(two(2), "c.nl.", "MX", "m3", None)], schema).coalesce(1).write.mode("append").parquet(source)
+    ingest_stream(raw, out, str(tmp_path / "check"))
+    assert found() == sorted([*expected, ("c.nl.", "2024-01-03", ["m3"], None)])
+
+
+def test_a_batch_twice(spark, tmp_path):
+    from tidemark.streaming.ingest import close_days, take_batch
+
+    rows = spark.createDataFrame([(DAY, "a.nl.", "MX", "m1", None), (DAY + datetime.timedelta(1), "a.nl.", "MX", "m1", None)], f"day date, {RAW}")
+    for _ in range(2):
+        take_batch(rows, 0, str(tmp_path))
+    assert close_days(spark, str(tmp_path)) == 1 and close_days(spark, str(tmp_path)) == 0
+    assert spark.read.parquet(str(tmp_path / "events")).count() == 1
+    assert not (tmp_path / "late").exists()
+
+
+def test_credentials(spark):
+    snapshots.credentials(spark, "some", "k", "s", "store.example")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert conf.get("fs.s3a.bucket.some.access.key") == "k" and conf.get("fs.s3a.bucket.some.endpoint") == "store.example"

@@ -61,3 +61,13 @@ def test_rows_of_a_group(spark, tmp_path):
     path = str(tmp_path / "events")
     store.append_events(events(spark), path, per_bucket=4)
     assert store.read_events(spark, path).select(F.countDistinct("domain")).first()[0] == 60
+
+
+def test_public_suffix_is_in_all_buckets(spark, tmp_path):
+    path = str(tmp_path / "events")
+    store.append_events(events(spark), path)
+    found = store.read_events(spark, path)
+    assert store.of_suffix(found, "nl").count() == 60
+    assert store.of_suffix(found, "NL.").count() == 60
+    plan = store.of_suffix(found, "d1.nl")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan

@@ -55,11 +55,18 @@ def of_domain(events: DataFrame, name: str) -> DataFrame:
 
 
 def of_suffix(events: DataFrame, suffix: str) -> DataFrame:
-    """Events of a name and all below it, by a prefix of the reversed name that Parquet's statistics can prune by."""
-    reversed_name = "." + ".".join(reversed(suffix.lower().strip().rstrip(".").split(".")))
+    """Events of a name and all below it, by a prefix of the reversed name that Parquet's statistics can prune by.
+
+    Names below a registrable domain lie in its bucket; those below a public suffix
+    lie in all, so there the prefix alone selects.
+    """
+    plain = suffix.lower().strip().rstrip(".")
+    reversed_name = "." + ".".join(reversed(plain.split(".")))
     name = F.col("domain_reversed")
     found = (name == reversed_name) | name.startswith(reversed_name + ".")
-    return events.where((F.col("bucket") == bucket_of_name(suffix)) & found)
+    if suffix_rules().registrable(plain) is not None:
+        found = (F.col("bucket") == bucket_of_name(plain)) & found
+    return events.where(found)
 
 
 def delta_bytes(spark: SparkSession, path: str) -> dict[int, int]:
@@ -91,7 +98,7 @@ def compact(spark: SparkSession, path: str, buckets: list[int], per_bucket: int
     rows = spark.read.schema(EVENT).parquet(stage)
     count = rows.count()
     if count == 0 or count != merged.count():
-        _remove(spark, stage)
+        remove(spark, stage)
         return 0
     fs, _ = _file_system(spark, path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -102,7 +109,7 @@ def compact(spark: SparkSession, path: str, buckets: list[int], per_bucket: int
                 fs.rename(at(f"{stage}/bucket={b}/{n}"), at(f"{path}/bucket={b}/base-{mark}-{n}"))
         for n in old[b]:
             fs.delete(at(f"{path}/bucket={b}/{n}"), False)
-    _remove(spark, stage)
+    remove(spark, stage)
     return count
 
 
@@ -112,7 +119,7 @@ def compact_over(spark: SparkSession, path: str, threshold: int = FINAL_BYTES, m
     return compact(spark, path, chosen[:most])
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     fs, at = _file_system(spark, path)
     fs.delete(at, True)
 
@@ -128,7 +135,7 @@ def replace_table(df: DataFrame, path: str) -> None:
     if fs.exists(at):
         fs.rename(at, place(old))
     fs.rename(place(new), at)
-    _remove(spark, old)
+    remove(spark, old)
 
 
 def write_log(spark: SparkSession, path: str, day: datetime.date) -> None:
