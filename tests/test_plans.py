@@ -70,3 +70,35 @@ def test_timings(spark):
     (name, seconds, rows), = validation.timed({"all": lambda: days(spark)})
     assert name == "all" and rows == 8 and seconds >= 0
     assert validation.extrapolated(2.0, 4, 3, 8) == 12
+
+
+def test_text_table_is_whole_and_formatted(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans.text_reports import text_report, text_table
+
+    rows = spark.range(1500).select(F.col("id").alias("rank"), F.concat(F.lit("n"), "id").alias("name"), (F.col("id") * 1000).alias("domains"), F.lit(1.5).alias("pct"), F.lit(2.25).alias("weight"))
+    text = text_report({"all": rows})
+    assert "1,500 entries shown" in text and "n1499" in text and "1,499,000" in text and "1.50%" in text and "2.25%" not in text
+    signed = spark.createDataFrame([(1, 5), (2, -5), (3, None)], "m int, yoy_change long")
+    assert [x.split() for x in text_table(signed, ["m"]).split("\n")[2:]] == [["1", "+5"], ["2", "-5"], ["3"]]
+    assert text_table(signed.limit(0)).startswith("m")
+
+
+def test_every_mechanism_is_in_the_wide_data(spark):
+    from tidemark.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    import os
+
+    import pytest
+
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    import tidemark.catalog_wide  # noqa: F401
+
+    types = {r.mtype for r in QUERIES["orders_spf_types"](spark, sf).collect()}
+    assert types == {"include", "redirect", "ip4", "ip6", "a", "mx", "exists", "ptr", "all", "other"}
+    assert {r.self_hosted for r in QUERIES["orders_mx_segments"](spark, sf).collect()} == {True, False}
+    assert QUERIES["orders_spf_redirect"](spark, sf).count() > 5
+    assert {r.outcome for r in QUERIES["correctness_check_faulty"](spark, sf).collect()} == {"pass", "fail"}

@@ -7,9 +7,11 @@ A data folder holds a folder for each dataset with `events`, `state` and
 from __future__ import annotations
 
 import argparse
+import contextlib
 import datetime
 import json
 import sys
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,10 +54,13 @@ def _maps(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFr
     return snapshots.read_mapping(spark, f"{at}/mx_providers.json"), snapshots.read_mapping(spark, f"{at}/spf_providers.json", spf=True)
 
 
-def _print(text: str, output: str | None) -> None:
-    print(text)
-    if output:
-        Path(output).write_text(text + "\n")
+def _print(lines: Iterable[str], output: str | None) -> None:
+    """To the terminal and, if wanted, to a file, as the lines come."""
+    with open(output, "w", encoding="utf-8") if output else contextlib.nullcontext() as f:
+        for line in lines:
+            print(line)
+            if f:
+                f.write(line + "\n")
 
 
 def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -121,12 +126,14 @@ def report(spark: SparkSession, a: argparse.Namespace) -> None:
             "totals": adoption.yearly_change(domains, totals), "categories": adoption.category_peaks(includes, totals, spf),
             "top includes": adoption.ranked_includes(includes, totals, spf, a.top_includes),
         }
-    _print(text_reports.text_report(sections), a.output)
+    _print(text_reports.report_lines(sections), a.output)
 
 
 def look_up(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.name.startswith("%"):
-        print(text_reports.text_table(history.suffix_domains(store.of_suffix(_events(spark, a), a.name.lstrip("%.")), a.name.lstrip("%."), a.limit)))
+        suffix = a.name.lstrip("%.")
+        found = history.suffix_domains(store.of_suffix(_events(spark, a), suffix), suffix, a.limit)
+        print(text_reports.text_table(history.containing(found, a.containing or "")))
         return
     rows = store.of_domain(_events(spark, a), a.name)
     logs = [f"{a.data}/{n}/ingest_log.json" for n in snapshots.discover_datasets(spark, a.data)]
@@ -139,12 +146,20 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     events = _events(spark, a)
     if a.kind == "performance":
         names = a.domains or [r[0].rstrip(".") for r in events.select("domain").limit(8).collect()]
-        runs = {}
         for n in names:
-            runs[f"pruned {n}"] = lambda n=n: store.of_domain(events, n)
-            runs[f"full {n}"] = lambda n=n: events.where(F.col("domain") == n + ".")
-        for name, seconds, rows in validation.timed(runs):
-            print(f"{name:<60} {seconds:8.3f} s {rows:>8,} rows")
+            for kind, run in (("pruned", lambda n=n: store.of_domain(events, n)), ("full", lambda n=n: events.where(F.col("domain") == n + "."))):
+                (_, seconds, rows), = validation.timed({kind: run})
+                print(f"{kind} {n:<52} {seconds:8.3f} s {rows:>8,} rows")
+        pairs = snapshots.source_pairs(a.basis)
+        days = [a.end - datetime.timedelta(i) for i in range(a.raw_days)]
+        paths = [(d, snapshots.snapshot_path(a.raw, *p, d)) for d in days for p in snapshots.active_sources(pairs, d)]
+        paths = [(d, x) for d, x in paths if snapshots.exists(spark, x)]
+        if paths:
+            raw = spark.read.schema(snapshots.RAW).option("pathGlobFilter", "*.parquet").parquet(*[x for _, x in paths])
+            for n, kind, seconds, rows, whole in validation.compared(events, raw, names, len(paths), 1, sum(len(snapshots.active_sources(pairs, a.start + datetime.timedelta(i))) for i in range((a.end - a.start).days + 1))):
+                print(f"{kind:<14} {n:<45} {seconds:8.3f} s {rows:>8,} rows {whole:12.1f} s for all days")
+            if a.full_raw:
+                print(f"raw, unfiltered: {validation.streamed_rows(raw):,} rows streamed")
         return 0
     days, pairs = [r[0] for r in events.select("measurement_date").distinct().orderBy(F.xxhash64("measurement_date", F.lit(a.seed))).limit(a.days).collect()], snapshots.source_pairs(a.basis)
     frames = [(d, snapshots.read_day(spark, a.raw, snapshots.active_sources(pairs, d), d)) for d in days]
@@ -173,7 +188,7 @@ def candidates(spark: SparkSession, a: argparse.Namespace) -> None:
         counts = snapshots.report_counts(text, "TOP MX PROVIDERS" if kind == "mx" else "TOP INCLUDE: TARGETS")
         frame = spark.createDataFrame(list(counts.items()), f"{key} string, count long")
         added = providers.candidates(frame, key, existing, snapshots.read_mapping(spark, known or "none", spf=kind == "spf"), spf=kind == "spf")
-        print(text_reports.text_table(added.orderBy(F.desc("count")).limit(20)))
+        print(text_reports.text_table(added.orderBy(F.desc("count"), key).limit(20)))
         if not a.dry_run:
             Path(f"{a.data}/mappings/{kind}_providers.json").write_text(providers.mapping_json(providers.merged(existing, added, key), key))
 
@@ -208,6 +223,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     c = command(look_up, "look-up")
     c.add_argument("name", help="a host, or %%suffix")
     c.add_argument("--limit", type=int, default=300)
+    c.add_argument("--containing", help="of the names below a suffix, those that hold this text")
     c = command(validate, "validate")
     c.add_argument("kind", choices=("completeness", "correctness", "performance"))
     c.add_argument("--n", type=int, default=500)
@@ -215,6 +231,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     c.add_argument("--seed", type=int, default=0)
     c.add_argument("--include-disappearances", action="store_true")
     c.add_argument("--domains", nargs="*")
+    c.add_argument("--raw-days", type=int, default=365)
+    c.add_argument("--full-raw", action="store_true")
     c = command(candidates, "candidates")
     c.add_argument("--report", required=True)
     c.add_argument("--known-mx")

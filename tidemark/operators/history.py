@@ -75,6 +75,11 @@ def suffix_domains(events: DataFrame, suffix: str, limit: int = 300) -> DataFram
     return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n_events")).orderBy(F.desc("n_events"), "domain").limit(limit).select(F.rtrim("domain", F.lit(".")).alias("domain"), "n_events")
 
 
+def containing(found: DataFrame, part: str) -> DataFrame:
+    """Of a list of names those that hold a text, in any case."""
+    return found.where(F.contains(F.lower("domain"), F.lit(part.lower()))) if part else found
+
+
 def value_as_of(events: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (domain, query_type, day): whether an event precedes, and the value of the last one.
 

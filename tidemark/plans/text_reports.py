@@ -1,25 +1,63 @@
-"""Aligned text tables of report frames, which are small by their limits."""
+"""Aligned text tables of report frames.
+
+Cells and widths are made by Spark, and rows come to the driver one after another, so a
+report in full may be as long as it likes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _is_share(name: str) -> bool:
+    return name == "percentage" or name == "pct" or name.endswith("_pct")
+
+
+def _cell(name: str, kind: T.DataType) -> Column:
+    """Shares as percent, changes with their sign, whole numbers in groups of three, other fractions with two places."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        text = F.concat(F.format_number(value, 2), F.lit("%" if _is_share(name) else ""))
+    elif isinstance(kind, (T.LongType, T.IntegerType, T.ShortType)):
+        text = F.format_number(value, 0)
+        if name.endswith("_change"):
+            text = F.concat(F.when(value >= 0, "+").otherwise(""), text)
+    else:
+        text = value.cast("string")
+    return F.coalesce(text, F.lit("")).alias(name)
+
+
+def table_lines(df: DataFrame, order: list[str] | None = None) -> Iterator[str]:
+    """The lines of a table, and how many rows there were; df is evaluated once."""
+    cells = (df.orderBy(*order) if order else df).select(*[_cell(f.name, f.dataType) for f in df.schema.fields]).persist()
+    try:
+        wide = cells.agg(*[F.max(F.length(f"`{c}`")).alias(f"w{i}") for i, c in enumerate(df.columns)]).first()
+        widths = [max(len(c), w or 0) for c, w in zip(df.columns, wide, strict=True)]
+        line = lambda r: "  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip()
+        yield line(df.columns)
+        yield "  ".join("-" * w for w in widths)
+        n = 0
+        for row in cells.toLocalIterator():
+            yield line(row)
+            n += 1
+        yield f"  {n:,} entries shown"
+    finally:
+        cells.unpersist()
 
 
-def text_table(df: DataFrame, order: list[str] | None = None, most: int = 1000) -> str:
-    rows = (df.orderBy(*order) if order else df).limit(most).collect()
-    cells = [df.columns, *([_cell(v) for v in r] for r in rows)]
-    widths = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
-    lines = ["  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in cells]
-    return "\n".join([lines[0], "  ".join("-" * w for w in widths), *lines[1:]])
+def text_table(df: DataFrame, order: list[str] | None = None) -> str:
+    return "\n".join(list(table_lines(df, order))[:-1])
 
 
-def _cell(value) -> str:
-    if value is None:
-        return ""
-    if isinstance(value, float):
-        return f"{value:.2f}%"
-    return f"{value:,}" if isinstance(value, int) else str(value)
+def report_lines(sections: dict[str, DataFrame]) -> Iterator[str]:
+    for i, (name, df) in enumerate(sections.items()):
+        yield from ([""] if i else []) + ["=" * 72, name.upper(), "=" * 72]
+        yield from table_lines(df)
 
 
 def text_report(sections: dict[str, DataFrame]) -> str:
-    return "\n\n".join(f"{'=' * 72}\n{name.upper()}\n{'=' * 72}\n{text_table(df)}\n  {df.count():,} entries shown" for name, df in sections.items())
+    return "\n".join(report_lines(sections))

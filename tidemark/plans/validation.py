@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.history import value_as_of
+from tidemark.operators.store import of_domain, of_suffix
 from tidemark.sources.snapshots import sample_rows
 
 
@@ -62,6 +63,39 @@ def timed(runs: dict[str, Callable[[], DataFrame]], warm: bool = True) -> list[t
     return out
 
 
+def look_ups(events: DataFrame, raw: DataFrame, name: str) -> dict[str, Callable[[], DataFrame]]:
+    """The four look-ups of a name that are compared: the host itself and all at or below it, in the store and in raw rows."""
+    host = name.lower().strip().rstrip(".") + "."
+    typed = raw.where(F.col("query_type").isin("MX", "TXT"))
+    asked = F.lower("query_name")
+    return {
+        "store exact": lambda: of_domain(events, name), "store suffix": lambda: of_suffix(events, name),
+        "raw exact": lambda: typed.where(asked == host), "raw suffix": lambda: typed.where((asked == host) | asked.endswith("." + host)),
+    }
+
+
+def look_up_counts(events: DataFrame, raw: DataFrame, names: list[str]) -> DataFrame:
+    """name, look_up and the rows that each finds."""
+    out = None
+    for name in names:
+        for kind, run in look_ups(events, raw, name).items():
+            one = run().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), F.lit(kind).alias("look_up"), "n_rows")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def compared(events: DataFrame, raw: DataFrame, names: list[str], days: int, sources: int, all_days: int) -> Iterator[tuple[str, str, float, int, float]]:
+    """name, look-up, seconds, rows, and for raw rows what all days of all sources would take; raw holds `days` of one source."""
+    for name in names:
+        for kind, seconds, rows in timed(look_ups(events, raw, name)):
+            yield name, kind, seconds, rows, extrapolated(seconds, days, sources, all_days) if kind.startswith("raw") else seconds
+
+
+def streamed_rows(df: DataFrame) -> int:
+    """How many rows an unfiltered scan brings to the driver, one partition at a time."""
+    return sum(1 for _ in df.toLocalIterator(prefetchPartitions=True))
+
+
 def extrapolated(seconds: float, days: int, sources: int, all_days: int) -> float:
     """What a scan of some days would take for all days of all sources."""
     return seconds / max(days, 1) * all_days * sources

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import json
-import posixpath
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +129,11 @@ def sample_rows(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.xxhash64(*[F.col(c) for c in df.columns], F.lit(seed))).limit(n)
 
 
+def arbitrary_row(df: DataFrame) -> DataFrame:
+    """One row, whichever comes first."""
+    return df.limit(1)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     if not exists(spark, path):
         return None
@@ -171,7 +175,3 @@ def report_counts(text: str, section: str) -> dict[str, int]:
     table = re.split(r"entries shown|Total time", after)[0]
     rows = re.findall(r"^\s*\d+\s+(\S+)(?:\s.*?)?\s([\d,]+)\s+\S+\s*$", table, re.M)
     return {name: int(count.replace(",", "")) for name, count in rows}
-
-
-def joined(*parts: str) -> str:
-    return posixpath.join(*parts)
