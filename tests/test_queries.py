@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark import catalog
+from tidemark import catalog, catalog_wide  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
