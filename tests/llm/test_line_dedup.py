@@ -1,5 +1,9 @@
+import itertools
+import math
 import random
 
+import pytest
+
 from tests.llm.helpers import PROSE, frame, odd
 from tidemark.llm.line_dedup import drop_recurring_lines, without_recurring_lines
 
@@ -78,3 +82,84 @@ def test_white_space_does_not_tell_lines_apart(spark):
     ]
     found = {r._row.doc_id: r._kept for r in without_recurring_lines(frame(spark, rows), keep=["doc_id"]).collect()}
     assert found == {1: "only here stands this line of words", 2: "and this one has no equal in here", 3: "", 4: "", 5: "", 6: ""}
+
+
+def _brute_force(docs):
+    """By the definitions: lines of each document that go, from sets and loops only."""
+    import re
+
+    lines = {}  # masked line -> documents
+    for i, text in docs:
+        for raw in text.split("\n"):
+            tokens = tuple("<*>" if re.search("[0-9]", t) else t for t in raw.split())
+            if len(tokens) >= 5:
+                lines.setdefault(tokens, set()).add(i)
+    leaf = lambda t: (len(t), t[:3])
+    places = {}
+    for t in lines:
+        for at, x in enumerate(t):
+            places[leaf(t), at, x] = places.get((leaf(t), at, x), 0) + 1
+    templates = {}
+    for t, who in lines.items():
+        n, need = len(t), math.ceil(round(0.6 * len(t), 9))
+        mine = {("line", t), ("support", tuple("<*>" if places[leaf(t), at, x] == 1 else x for at, x in enumerate(t)))}
+        bounds = [i * (n - 3) // 6 for i in range(7)]
+        blocks = [t[3 + bounds[i] : 3 + bounds[i + 1]] for i in range(6)]
+        fields = [g for g in itertools.product([0, 1], repeat=6) if all(len(b) or not x for b, x in zip(blocks, g, strict=True)) and sum(len(b) for b, x in zip(blocks, g, strict=True) if x) <= n - need]
+        widest = [g for g in fields if not any(h != g and all(x <= y for x, y in zip(g, h, strict=True)) for h in fields)]
+        mine |= {("blocks", g, t[:3], n, tuple(None if x else b for b, x in zip(blocks, g, strict=True))) for g in widest}
+        for m in mine:
+            kept = m[1] if m[0] == "support" else [x for b in m[4] if b for x in b] + list(t[:3]) if m[0] == "blocks" else None
+            if kept is None or sum(x != "<*>" for x in kept) >= need:
+                templates.setdefault(m, set()).update(who)
+                lines_of.setdefault(m, set()).add(t)
+    gone = {t for m, who in templates.items() if len(who) > 1 for t in lines_of[m]}
+    lines_of.clear()
+    return gone
+
+
+lines_of: dict = {}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_brute_force(spark, seed):
+    """Random leaves: lines of a few templates with up to 40 % of fields anywhere behind the leading tokens, values that recur or not."""
+    r = random.Random(seed)
+    word = lambda k: "w" + "".join(r.choice("abcdefgh") for _ in range(k))
+    patterns = []
+    for _ in range(12):
+        n = r.randint(5, 24)
+        base = ["a", "b", r.choice(["c", "d"])] + [word(2) for _ in range(n - 3)]
+        patterns.append((base, r.sample(range(3, n), min(n - 3, r.randint(0, int(0.4 * n) + 1)))))
+    made = []
+    for _ in range(300):
+        base, fields = r.choice(patterns)
+        line = list(base)
+        for f in fields:
+            line[f] = r.choice([word(6), word(1), "17"])
+        made.append(" ".join(line))
+    docs = [(i, "\n".join(r.sample(made, 6) + [f"a b c {word(5)} {word(5)} {word(5)} {word(5)}"])) for i in range(60)]
+    gone = _brute_force(docs)
+    found = {x._row.doc_id: x._kept for x in without_recurring_lines(frame(spark, docs), keep=["doc_id"]).collect()}
+    import re
+
+    for i, text in docs:
+        stay = [x for x in text.split("\n") if tuple("<*>" if re.search("[0-9]", t) else t for t in x.split()) not in gone]
+        assert found[i] == "\n".join(stay)
+    assert gone
+
+
+def test_fields_in_many_places(spark):
+    """Four fields spread over a line, and one next to the leading tokens with one at the end, whatever stands in the leaf."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    far = [f"job run for {letters(i)}q host mars gave {letters(i)}r lines in {letters(i)}s shards and {letters(i)}t rows" for i in range(200)]
+    ends = [f"user did act {letters(i)}u on the far side of the moon {letters(i)}v" for i in range(200)]
+    rows = [(i, x) for i, x in enumerate(far + ends)]
+    found = without_recurring_lines(frame(spark, rows), keep=["doc_id"]).collect()
+    assert len(found) == 400 and all(x._kept == "" for x in found)
+
+
+def test_short_lines_by_parameter(spark):
+    rows = [(1, "Accept all\nalone here one"), (2, "Accept all\nother words two"), (3, "{\n{"), (4, "{")]
+    found = {x._row.doc_id: x._kept for x in without_recurring_lines(frame(spark, rows), keep=["doc_id"], exact_tokens=2).collect()}
+    assert found == {1: "alone here one", 2: "other words two", 3: "{\n{", 4: "{"}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import shared_dir, ship_package
+from tidemark.sources.snapshots import _file_system
 
 #: The white space that separates words in every contract here.
 WHITE = "\\x20\\x09-\\x0D"
@@ -24,24 +25,43 @@ BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written to the shared folder as Parquet and read again.
 
     This cuts the lineage like a reliable checkpoint: a lost executor costs no
     recomputation. In difference to a checkpoint, the files have a size that the
-    planner sees, so joins are broadcast only when the table proves to be small.
+    planner sees, so joins are broadcast only when the table proves to be small. The
+    folder goes when the driver ends, or before by discard().
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    df.write.option("compression", compression).parquet(at)
+    fs, place = _file_system(spark, at)
+    fs.deleteOnExit(place)
+    found = spark.read.schema(df.schema).parquet(at)
+    found._staged_at = at
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that no plan will read any more."""
+    for df in tables:
+        fs, place = _file_system(df.sparkSession, df._staged_at)
+        fs.delete(place, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Before Python runs: give workers the package, and bound what one holds at once, by rows and by bytes."""
+    """Before Python runs: give workers the package, and bound what one holds at once, by rows and by bytes.
+
+    A plan takes these two settings when it runs, after the operator has returned its
+    frame, so they stay with the session. Values that the user has set lower are kept.
+    """
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key, "0").rstrip("b") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

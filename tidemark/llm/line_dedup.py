@@ -3,19 +3,26 @@
 A line is cut into tokens at white space, and tokens with a digit become the wildcard.
 The tree has a fixed depth: token count, then the LEADING first tokens. Leaves that
 only one document reaches hold no recurring line and are left out by a cheap
-aggregation. In each other leaf, the tokens behind the leading ones are cut into BLOCKS
-blocks. A template keeps some blocks with the leading tokens, LITERAL of all tokens at
-least and wildcards not counted; what the other blocks hold are its variable fields. A
-line has every template that keeps as few blocks as that allows, so two lines that
-differ in two blocks (three, where their sizes allow it) share one, whatever other
-lines the leaf holds and however many. A template recurs when two or more documents
-have it, as does a line that two or more documents have. Lines of recurring templates
-are dropped from all their documents.
-
-Lines of fewer than MIN_TOKENS tokens always stay. A null text stays null; a text
-that loses all lines becomes empty. Rows equal in doc_id and text are one
-document; a null doc_id is an id like any other. An empty table gives an empty result. All of it is
-DataFrame functions.
+aggregation. In each other leaf a line has templates of two kinds, each with LITERAL of
+all tokens at least, wildcards not counted:
+
+* by support: a token that no other line of the leaf has at its place is the value of a
+  field and becomes the wildcard; so any number of fields is found, wherever they stand,
+  as long as their values differ from those of all other lines.
+* by blocks: the tokens behind the leading ones are cut into BLOCKS blocks, and what
+  some of them hold are the fields, whether their values recur or not. A line has every
+  template that leaves out as many blocks as LITERAL allows, so two lines that differ
+  in two blocks (three, where their sizes allow it) share one.
+
+Neither depends on what else the leaf holds or on how many lines. A template recurs when
+two or more documents have it, as does a line that two or more documents have. Lines of
+recurring templates are dropped from all their documents.
+
+Lines of fewer than ``min_tokens`` tokens have no template; those of fewer than
+``exact_tokens`` stay even where they recur exactly, as ends of verses or brackets do.
+A null text stays null; a text that loses all lines becomes empty. Rows equal in doc_id
+and text are one document; a null doc_id is an id like any other. An empty table gives
+an empty result. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, staged, table, unpacked
+from tidemark.llm.common import discard, packed, staged, table, unpacked
 
 LEADING, MIN_TOKENS, LITERAL, SALTS = 3, 5, 0.6, 16
 #: Blocks of a line, and the token count from which all lines leave out the same sets of them.
@@ -34,9 +41,9 @@ BLOCKS, MANY = 6, 64
 WILD = "<*>"
 
 
-def document_key(docs: DataFrame) -> Column:
-    """Tells documents apart also where ids repeat or are null."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
+def document_key(docs: DataFrame, seed: int = 0) -> Column:
+    """Tells documents apart also where ids repeat or are null; two seeds make a name of 128 bits."""
+    return F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])
 
 
 def spaced(text: Column) -> Column:
@@ -48,15 +55,15 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
 
 
-def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
-    """_key, _at, _leaf and the 128-bit name (_line, _more) of each masked line, and the line itself if wanted."""
-    rows = docs.where(docs["text"].isNotNull()).select(document_key(docs).alias("_key"), F.posexplode(F.split(spaced(docs["text"]), "\n")).alias("_at", "_raw"))
-    cut = rows.select("_key", "_at", masked(F.btrim("_raw")).alias("_text"))
-    cut = cut.withColumn("_tokens", F.split("_text", " ")).where(F.size("_tokens") >= MIN_TOKENS)
-    leaf = F.xxhash64(F.size("_tokens"), *[F.get("_tokens", F.lit(i)) for i in range(LEADING)])
-    return cut.select(
-        "_key", "_at", leaf.alias("_leaf"), F.xxhash64("_text").alias("_line"), F.xxhash64(F.lit(1), "_text").alias("_more"), *(["_text"] if with_text else [])
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """_key and _other of the document, _at, _leaf, the 128-bit name (_line, _more) of each masked line, _text, the line, and _size, its tokens."""
+    rows = docs.where(docs["text"].isNotNull()).select(
+        document_key(docs).alias("_key"), document_key(docs, 1).alias("_other"), F.posexplode(F.split(spaced(docs["text"]), "\n")).alias("_at", "_raw")
     )
+    cut = rows.select("_key", "_other", "_at", masked(F.btrim("_raw")).alias("_text"))
+    cut = cut.withColumn("_tokens", F.split("_text", " ")).withColumn("_size", F.size("_tokens")).where((F.col("_size") >= least) & (F.col("_text") != ""))
+    leaf = F.xxhash64("_size", *[F.get("_tokens", F.lit(i)) for i in range(LEADING)])
+    return cut.select("_key", "_other", "_at", leaf.alias("_leaf"), F.xxhash64("_text").alias("_line"), F.xxhash64(F.lit(1), "_text").alias("_more"), "_text", "_size")
 
 
 @lru_cache(maxsize=256)
@@ -72,23 +79,26 @@ def masks(n: int) -> list[int]:
     return sorted(full & ~x for x in gone if not any(x != y and x & y == x for y in gone))
 
 
-def _templates(different: DataFrame) -> DataFrame:
-    """_line, _more, _a, _b and _template: one row for each template of a different line.
+def _needed(size: Column) -> Column:
+    return F.ceil(F.round(LITERAL * size, 9))
 
-    A template is a set of blocks with their tokens, beside the leaf. Lines that have
-    one in common agree in LITERAL of their tokens, whatever else the leaf holds.
-    """
+
+def _literals(tokens: Column) -> Column:
+    return F.size(F.array_remove(tokens, WILD))
+
+
+def _by_blocks(different: DataFrame) -> DataFrame:
+    """_line, _more, _a, _b and _template: one row for each template of a different line that keeps a set of blocks."""
     tokens = F.split("_text", " ")
     size = F.size("_tokens")
     rows = different.select("_leaf", "_line", "_more", "_a", "_b", tokens.alias("_tokens"))
     bound = [F.floor(i * (size - LEADING) / BLOCKS).cast("int") for i in range(BLOCKS + 1)]
     blocks = [F.slice("_tokens", bound[i] + (LEADING + 1), bound[i + 1] - bound[i]) for i in range(BLOCKS)]
-    literals = lambda x: F.size(F.array_remove(x, WILD))
     tables = "array(" + ",".join(f"array({','.join(map(str, masks(n)))})" for n in range(MIN_TOKENS, MANY + 1)) + ")"
     wanted = F.get(F.expr(tables), F.least(size, F.lit(MANY)) - MIN_TOKENS)
     hashed = rows.select(
-        "_leaf", "_line", "_more", "_a", "_b", *[F.xxhash64(x).alias(f"_h{i}") for i, x in enumerate(blocks)], *[literals(x).alias(f"_c{i}") for i, x in enumerate(blocks)],
-        (F.ceil(F.round(LITERAL * size, 9)) - literals(F.slice("_tokens", 1, LEADING))).alias("_need"), wanted.alias("_masks"),
+        "_leaf", "_line", "_more", "_a", "_b", *[F.xxhash64(x).alias(f"_h{i}") for i, x in enumerate(blocks)], *[_literals(x).alias(f"_c{i}") for i, x in enumerate(blocks)],
+        (_needed(size) - _literals(F.slice("_tokens", 1, LEADING))).alias("_need"), wanted.alias("_masks"),
     )
     # exploded apart, or what stands beside explode is computed for each mask
     hashed = hashed.select("*", F.explode("_masks").alias("_mask"))
@@ -98,32 +108,49 @@ def _templates(different: DataFrame) -> DataFrame:
     return hashed.where(literal >= F.col("_need")).select("_line", "_more", "_a", "_b", name.alias("_template"))
 
 
-def recurring_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """_line, _more and _template of all lines whose template recurs across documents."""
+def _by_support(different: DataFrame) -> DataFrame:
+    """_line, _more, _a, _b and _template: the template of a different line without the tokens that it alone has at their places."""
+    tokens = different.select("_leaf", "_line", "_more", F.posexplode(F.split("_text", " ")).alias("_place", "_token")).where(F.col("_token") != WILD)
+    # equal tokens of one place meet under one key; a common one is combined before the shuffle
+    seen = tokens.groupBy(F.xxhash64("_leaf", "_place", "_token").alias("_named"), F.col("_place")).agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_of"), F.min("_more").alias("_of_more"))
+    fields = seen.where("_n = 1").groupBy("_of", "_of_more").agg(F.collect_list("_place").alias("_fields"))  # the places of one line
+    found = different.hint("merge").join(fields, (F.col("_line") == F.col("_of")) & (F.col("_more") == F.col("_of_more")), "left")
+    split = F.split("_text", " ")
+    left = F.when(F.col("_fields").isNull(), split).otherwise(F.transform(split, lambda x, i: F.when(F.array_contains(F.col("_fields"), i), WILD).otherwise(x)))
+    kept = found.select("_leaf", "_line", "_more", "_a", "_b", left.alias("_tokens")).where(_literals(F.col("_tokens")) >= _needed(F.size("_tokens")))
+    return kept.select("_line", "_more", "_a", "_b", F.xxhash64(F.lit(2), "_leaf", "_tokens").alias("_template"))
+
+
+def recurring_lines(lines: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """_line, _more and _template of all lines that recur or whose template recurs across documents."""
     leaves = staged(lines.groupBy("_leaf").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a <> _b").select("_leaf"), "leaves")
     # a leaf may hold a third of all lines; its rows are dealt over SALTS keys
     salted = leaves.select("_leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    dealt = _lines(docs, True).withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
+    dealt = lines.withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
     within = dealt.hint("merge").join(salted, ["_leaf", "_salt"], "left_semi")
-    different = staged(within.groupBy("_leaf", "_line", "_more").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.first("_text").alias("_text")), "different-lines")
-    wide = _templates(different).groupBy("_template").agg(F.min("_a").alias("_x"), F.max("_b").alias("_y")).where("_x <> _y")
-    wide = staged(wide.select(F.col("_template").alias("_of")), "templates")
+    different = staged(within.groupBy("_leaf", "_line", "_more").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.first("_text").alias("_text"), F.first("_size").alias("_size")), "different-lines")
+    discard(leaves)
+    wide = different.where(F.col("_size") >= min_tokens)
+    named = staged(_by_blocks(wide).union(_by_support(wide)), "line-templates")
+    recurs = named.groupBy("_template").agg(F.min("_a").alias("_x"), F.max("_b").alias("_y")).where("_x <> _y").select(F.col("_template").alias("_of"))
     # what recurs exactly is a witness above and needs no template of its own
-    general = _templates(different.where("_a = _b")).join(wide, F.col("_template") == F.col("_of")).select("_line", "_more", "_template")
+    general = named.where("_a = _b").join(recurs, F.col("_template") == F.col("_of")).select("_line", "_more", "_template")
     exact = different.where("_a <> _b").select("_line", "_more", F.col("_line").alias("_template"))
     return exact.union(general).groupBy("_line", "_more").agg(F.min("_template").alias("_template"))
 
 
-def without_recurring_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, keep: list[str] | None = None, min_tokens: int = MIN_TOKENS, exact_tokens: int = MIN_TOKENS) -> DataFrame:
     """The columns to keep as _row, _n_lines, _n_dropped and _kept, the text of the lines that stay."""
-    lines = staged(_lines(docs, False), "lines")
-    recurring = staged(recurring_lines(docs, lines).select(F.col("_line").alias("_bad"), F.col("_more").alias("_bad_more")), "recurring")
-    hits = lines.join(recurring, (F.col("_line") == F.col("_bad")) & (F.col("_more") == F.col("_bad_more"))).select("_key", "_at")
+    if min_tokens < MIN_TOKENS:
+        raise ValueError(f"templates need {MIN_TOKENS} tokens at least")
+    lines = staged(_lines(docs, min(min_tokens, exact_tokens)), "lines", "zstd")
+    recurring = staged(recurring_lines(lines, min_tokens).select(F.col("_line").alias("_bad"), F.col("_more").alias("_bad_more")), "recurring")
+    hits = lines.join(recurring, (F.col("_line") == F.col("_bad")) & (F.col("_more") == F.col("_bad_more"))).select("_key", "_other", "_at")
     # a document's own line numbers only
-    dropped = hits.groupBy(F.col("_key").alias("_of")).agg(F.collect_set("_at").alias("_dropped"))
+    dropped = hits.groupBy(F.col("_key").alias("_of"), F.col("_other").alias("_of_other")).agg(F.collect_set("_at").alias("_dropped"))
     kept = docs.select(*[f"`{c}`" for c in docs.columns if keep is None or c in keep])
-    rows = docs.select(packed(kept), document_key(docs).alias("_key"), docs["text"].alias("_text"))
-    found = rows.hint("merge").join(dropped, F.col("_key") == F.col("_of"), "left")
+    rows = docs.select(packed(kept), document_key(docs).alias("_key"), document_key(docs, 1).alias("_other"), docs["text"].alias("_text"))
+    found = rows.hint("merge").join(dropped, (F.col("_key") == F.col("_of")) & (F.col("_other") == F.col("_of_other")), "left")
     split = F.split("_text", "\n")
     left = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
     return found.select(
@@ -132,9 +159,9 @@ def without_recurring_lines(docs: DataFrame, keep: list[str] | None = None) -> D
     )
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, exact_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs with recurring lines dropped from text, all other columns as they were."""
-    found = without_recurring_lines(docs)
+    found = without_recurring_lines(docs, min_tokens=min_tokens, exact_tokens=exact_tokens)
     return unpacked(found.select(F.col("_row").withField("text", F.col("_kept")).alias("_row")))
 
 
