@@ -48,22 +48,30 @@ def document_key(docs: DataFrame, seed: int = 0) -> Column:
 
 def spaced(text: Column) -> Column:
     """The text with one space for each run of white space within a line."""
-    return F.when(text.rlike("[\\x09\\x0B-\\x0D]|  "), F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text)
+    odd = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text)
 
 
 def masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line)
+    """The wildcard for tokens with a digit; the pattern never goes back in the line."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)).otherwise(line)
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """_key and _other of the document, _at, _leaf, the 128-bit name (_line, _more) of each masked line, _text, the line, and _size, its tokens."""
-    rows = docs.where(docs["text"].isNotNull()).select(
-        document_key(docs).alias("_key"), document_key(docs, 1).alias("_other"), F.posexplode(F.split(spaced(docs["text"]), "\n")).alias("_at", "_raw")
-    )
-    cut = rows.select("_key", "_other", "_at", masked(F.btrim("_raw")).alias("_text"))
-    cut = cut.withColumn("_tokens", F.split("_text", " ")).withColumn("_size", F.size("_tokens")).where((F.col("_size") >= least) & (F.col("_text") != ""))
-    leaf = F.xxhash64("_size", *[F.get("_tokens", F.lit(i)) for i in range(LEADING)])
-    return cut.select("_key", "_other", "_at", leaf.alias("_leaf"), F.xxhash64("_text").alias("_line"), F.xxhash64(F.lit(1), "_text").alias("_more"), "_text", "_size")
+def _lines(docs: DataFrame, least: int, with_text: bool) -> DataFrame:
+    """_key of the document, _leaf and the 128-bit name (_line, _more) of each masked line; with it the line and its tokens (_text, _size), or its place (_other, _at)."""
+    # the names of documents are made below the explosion, once for each
+    keys = [document_key(docs).alias("_key"), *([] if with_text else [document_key(docs, 1).alias("_other")])]
+    texts = docs.where(docs["text"].isNotNull()).select(*keys, spaced(docs["text"]).alias("_whole"))
+    rows = texts.select(*[c for c in texts.columns if c != "_whole"], F.posexplode(F.split("_whole", "\n")).alias("_at", "_raw"))
+    # masking keeps the tokens' number, so that it follows the filter, which looks at the first tokens only
+    cut = rows.select("*", F.btrim("_raw").alias("_plain")).where("_plain <> ''")
+    if least > 1:
+        cut = cut.where(F.substring_index("_plain", " ", least - 1) != F.col("_plain"))
+    cut = cut.select("*", masked(F.col("_plain")).alias("_text"), F.size(F.split("_plain", " ")).alias("_size"))
+    leaf = F.xxhash64("_size", F.substring_index("_text", " ", LEADING))
+    return cut.select("_key", leaf.alias("_leaf"), F.xxhash64("_text").alias("_line"), F.xxhash64(F.lit(1), "_text").alias("_more"), *(["_text", "_size"] if with_text else ["_other", "_at"]))
 
 
 @lru_cache(maxsize=256)
@@ -110,27 +118,31 @@ def _by_blocks(different: DataFrame) -> DataFrame:
 
 def _by_support(different: DataFrame) -> DataFrame:
     """_line, _more, _a, _b and _template: the template of a different line without the tokens that it alone has at their places."""
-    tokens = different.select("_leaf", "_line", "_more", F.posexplode(F.split("_text", " ")).alias("_place", "_token")).where(F.col("_token") != WILD)
+    tokens = different.select("_leaf", "_line", F.posexplode(F.split("_text", " ")).alias("_place", "_token")).where(F.col("_token") != WILD)
     # equal tokens of one place meet under one key; a common one is combined before the shuffle
-    seen = tokens.groupBy(F.xxhash64("_leaf", "_place", "_token").alias("_named"), F.col("_place")).agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_of"), F.min("_more").alias("_of_more"))
-    fields = seen.where("_n = 1").groupBy("_of", "_of_more").agg(F.collect_list("_place").alias("_fields"))  # the places of one line
-    found = different.hint("merge").join(fields, (F.col("_line") == F.col("_of")) & (F.col("_more") == F.col("_of_more")), "left")
+    named = tokens.select(F.xxhash64("_leaf", "_place", "_token").alias("_named"), "_place", "_line")
+    seen = named.groupBy("_named").agg(F.count(F.lit(1)).alias("_n"), F.min("_line").alias("_of"), F.min("_place").alias("_place"))
+    fields = seen.where("_n = 1").groupBy("_of").agg(F.collect_list("_place").alias("_fields"))  # the places of one line
+    found = different.hint("merge").join(fields, F.col("_line") == F.col("_of"), "left")
     split = F.split("_text", " ")
     left = F.when(F.col("_fields").isNull(), split).otherwise(F.transform(split, lambda x, i: F.when(F.array_contains(F.col("_fields"), i), WILD).otherwise(x)))
     kept = found.select("_leaf", "_line", "_more", "_a", "_b", left.alias("_tokens")).where(_literals(F.col("_tokens")) >= _needed(F.size("_tokens")))
     return kept.select("_line", "_more", "_a", "_b", F.xxhash64(F.lit(2), "_leaf", "_tokens").alias("_template"))
 
 
-def recurring_lines(lines: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def recurring_lines(docs: DataFrame, lines: DataFrame, least: int, min_tokens: int) -> DataFrame:
     """_line, _more and _template of all lines that recur or whose template recurs across documents."""
-    leaves = staged(lines.groupBy("_leaf").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b")).where("_a <> _b").select("_leaf"), "leaves")
+    by_leaf = lines.groupBy("_leaf").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), (F.min("_line") < F.max("_line")).alias("_many"))
+    leaves = staged(by_leaf.where("_a <> _b").select(F.col("_leaf").alias("_in"), "_many"), "leaves")
     # a leaf may hold a third of all lines; its rows are dealt over SALTS keys
-    salted = leaves.select("_leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    dealt = lines.withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
-    within = dealt.hint("merge").join(salted, ["_leaf", "_salt"], "left_semi")
-    different = staged(within.groupBy("_leaf", "_line", "_more").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), F.first("_text").alias("_text"), F.first("_size").alias("_size")), "different-lines")
+    salted = leaves.select("_in", "_many", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_deal"))
+    dealt = _lines(docs, least, True).withColumn("_salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
+    within = dealt.hint("merge").join(salted, (F.col("_leaf") == F.col("_in")) & (F.col("_salt") == F.col("_deal")))
+    first = [F.first(c).alias(c) for c in ("_text", "_size", "_many")]
+    different = staged(within.groupBy("_leaf", "_line", "_more").agg(F.min("_key").alias("_a"), F.max("_key").alias("_b"), *first), "different-lines", "zstd")
     discard(leaves)
-    wide = different.where(F.col("_size") >= min_tokens)
+    # a line that is alone in its leaf has no other to share a template with
+    wide = different.where(F.col("_many") & (F.col("_size") >= min_tokens))
     named = staged(_by_blocks(wide).union(_by_support(wide)), "line-templates")
     recurs = named.groupBy("_template").agg(F.min("_a").alias("_x"), F.max("_b").alias("_y")).where("_x <> _y").select(F.col("_template").alias("_of"))
     # what recurs exactly is a witness above and needs no template of its own
@@ -143,8 +155,9 @@ def without_recurring_lines(docs: DataFrame, keep: list[str] | None = None, min_
     """The columns to keep as _row, _n_lines, _n_dropped and _kept, the text of the lines that stay."""
     if min_tokens < MIN_TOKENS:
         raise ValueError(f"templates need {MIN_TOKENS} tokens at least")
-    lines = staged(_lines(docs, min(min_tokens, exact_tokens)), "lines", "zstd")
-    recurring = staged(recurring_lines(lines, min_tokens).select(F.col("_line").alias("_bad"), F.col("_more").alias("_bad_more")), "recurring")
+    least = min(min_tokens, exact_tokens)
+    lines = staged(_lines(docs, least, False), "lines")
+    recurring = staged(recurring_lines(docs, lines, least, min_tokens).select(F.col("_line").alias("_bad"), F.col("_more").alias("_bad_more")), "recurring")
     hits = lines.join(recurring, (F.col("_line") == F.col("_bad")) & (F.col("_more") == F.col("_bad_more"))).select("_key", "_other", "_at")
     # a document's own line numbers only
     dropped = hits.groupBy(F.col("_key").alias("_of"), F.col("_other").alias("_of_other")).agg(F.collect_set("_at").alias("_dropped"))
