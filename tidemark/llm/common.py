@@ -59,8 +59,8 @@ def bounded_batches(spark: SparkSession) -> None:
     ship_package(spark)
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = int(spark.conf.get(key, "0").rstrip("b") or 0)
-        if not 0 < now <= most:
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, most)
 
 

@@ -1,13 +1,15 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are lower-cased words and their first 4 and 6 letters. The vocabulary holds
-the terms that labelled documents tie to label 1 beyond chance: n * KL(rate, base)
-above the logarithm of the number of terms tested, where n first counts documents and
-then different neighbourhoods (the words before and after), so that copies and shared
-passages count once. Texts are TF-IDF vectors over
-it, with document frequencies counted in all documents. The k labelled examples of
-the largest cosine are found exactly by an inverted index whose postings are cut
-into blocks: a block's largest weights bound what any of its examples can reach, and blocks
+Terms of a text are its lower-cased words, the beginnings of words (2 to 7 letters), and
+the beginnings that 2 or 4 different words of the text share, since one such word says
+less than several. Texts are TF-IDF vectors over all terms that labelled documents tie
+to either label beyond chance: n * KL(rate, base) above the logarithm of the number of
+terms tested, where n first counts documents and then different neighbourhoods (the
+words before and after), so that copies and shared passages count once. Words that say
+nothing about the label would only blur the cosine; there is no other bound on terms.
+Document frequencies are counted in all documents. The k labelled examples of the
+largest cosine are found exactly by an inverted index whose postings are cut into
+blocks: a block's largest weights bound what any of its examples can reach, and blocks
 below the k-th cosine found so far are skipped. Votes are weighted by cosine and
 shrunk to the rate among examples without any term, which makes scores rates.
 
@@ -15,7 +17,8 @@ Labels are learnt from at most ``max_labelled`` labelled rows of the folds that
 not held out, and at most ``max_examples`` of each label become examples. Rows of one
 doc_id that differ in label count as toxic. A null or empty text has no terms and
 gets the base rate; without any labelled row that is 0. Repeated rows get equal
-scores; an empty table gives an empty result.
+scores; an empty table gives an empty result. Of equal cosines, those of the block with the
+larger bound come first, then the earlier example.
 """
 
 from __future__ import annotations
@@ -32,20 +35,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, fold, packed, table
+from tidemark.llm.common import bounded_batches, discard, fold, packed, staged, table
 
-#: Bounds of what is learnt from; both bound what is broadcast, too.
-MAX_LABELLED, MAX_EXAMPLES, MAX_TERMS = 20_000, 2_048, 2_000
+#: Bounds of what is learnt from; they bound what is broadcast, too.
+MAX_LABELLED, MAX_EXAMPLES = 20_000, 2_048
 NEIGHBOURS, BLOCK = 15, 64
 KNOWN_WORDS, KNOWN_VECTORS = 400_000, 20_000
 #: Weight of the base rate among the votes.
 SHRINK = 0.25
+#: Lengths of beginnings, and how many different words must share one to make a further term.
+BEGINNINGS, SHARED = range(2, 8), (2, 4)
 
 words_of = re.compile(r"[^\W_]+").findall
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, f"^{word[:4]}", f"^{word[:6]}") if len(word) > 6 else (word, f"^{word[:4]}") if len(word) > 4 else (word,)
+def beginnings(word: str) -> list[str]:
+    return [f"^{word[:k]}" for k in BEGINNINGS if len(word) > k]
+
+
+def terms_of(words: set[str]) -> dict[str, set[str]]:
+    """The terms of a text's different words, each with the words that it stands for."""
+    out: dict[str, set[str]] = {w: {w} for w in words}
+    for w in words:
+        for x in beginnings(w):
+            out.setdefault(x, set()).add(w)
+    more = {f"{x}+{n}": ws for x, ws in out.items() if x[0] == "^" for n in SHARED if len(ws) >= n}
+    return out | more
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +68,7 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         every, toxic = Counter(), Counter()
         for text, label in zip(batch.column("_text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
-            found = {t for w in set(words_of((text or "").lower())) for t in terms_of(w)}
+            found = terms_of(set(words_of((text or "").lower()))).keys()
             every.update(found)
             if label:
                 toxic.update(found)
@@ -71,12 +86,17 @@ def _neighbourhoods(number: dict[str, int]):
             terms, around, labels = [], [], []
             for text, label in zip(batch.column("_text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
                 words = ["", *words_of((text or "").lower()), ""]
+                of: dict[str, list[int]] = {}
+                for t, ws in terms_of(set(words[1:-1])).items():
+                    if t in number:
+                        for w in ws:
+                            of.setdefault(w, []).append(number[t])
                 for before, word, after in zip(words, words[1:], words[2:], strict=False):
-                    for t in terms_of(word):
-                        if t in number:
-                            terms.append(number[t])
-                            around.append(zlib.crc32(f"{before} {after}".encode()))
-                            labels.append(label)
+                    if word in of:
+                        place = zlib.crc32(f"{before} {after}".encode())
+                        terms += of[word]
+                        around += [place] * len(of[word])
+                        labels += [label] * len(of[word])
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(around, pa.int64()), pa.array(labels, pa.int64())], names=["term", "around", "label"])
 
     return run
@@ -88,20 +108,27 @@ def _gain(n: Column, toxic: Column, base: float) -> Column:
 
 
 class Terms:
-    """Finds the vocabulary's terms in words; remembers which words have any, KNOWN_WORDS at most."""
+    """Finds the vocabulary's terms in texts; remembers which words have any, KNOWN_WORDS at most."""
 
     def __init__(self, number: dict[str, int]):
         self.number, self.seen, self.having, self.of = number, set(), set(), {}
+        self.shared: dict[str, list[tuple[int, int]]] = {}
+        for t, i in number.items():
+            if t[0] == "^" and "+" in t:
+                start, _, n = t.rpartition("+")
+                self.shared.setdefault(start, []).append((int(n), i))
 
     def found(self, words: set[str]) -> set[str]:
-        """The words that have terms; self.of tells which."""
+        """The words that have terms; self.of tells which, and which of their beginnings count when shared."""
         new = words - self.seen
         if len(new) + len(self.seen) > KNOWN_WORDS:
             self.seen, self.having, self.of, new = set(), set(), {}, words
         for word in new:
-            numbers = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-            if numbers:
-                self.of[word] = numbers
+            starts = beginnings(word)
+            numbers = [self.number[t] for t in (word, *starts) if t in self.number]
+            counted = [x for x in starts if x in self.shared]
+            if numbers or counted:
+                self.of[word] = (numbers, counted)
                 self.having.add(word)
         self.seen |= new
         return words & self.having
@@ -111,9 +138,18 @@ class Terms:
         words = words_of(text.lower())
         out: Counter = Counter()
         if few := self.found(set(words)):
-            for word, n in Counter(w for w in words if w in few).items():
-                for i in self.of[word]:
+            counts = Counter(w for w in words if w in few)
+            starts: dict[str, list[str]] = {}
+            for word, n in counts.items():
+                numbers, counted = self.of[word]
+                for i in numbers:
                     out[i] += n
+                for x in counted:
+                    starts.setdefault(x, []).append(word)
+            for x, ws in starts.items():
+                for n, i in self.shared[x]:
+                    if len(ws) >= n:
+                        out[i] = sum(counts[w] for w in ws)
         return {i: 1 + math.log(n) for i, n in sorted(out.items())}
 
 
@@ -123,7 +159,7 @@ def _frequency_counts(number: dict[str, int]):
         for batch in batches:
             for text in batch.column("_text").to_pylist():
                 rows += 1
-                counts.update({i for w in terms.found(set(words_of((text or "").lower()))) for i in terms.of[w]})
+                counts.update(terms.vector(text or "").keys())
         counts[-1] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
@@ -131,7 +167,7 @@ def _frequency_counts(number: dict[str, int]):
 
 
 class BlockMaxIndex:
-    """Examples by term, in blocks with the largest weight of each term."""
+    """Postings by term, in blocks of BLOCK examples, each block with the largest weight in it."""
 
     def __init__(self, rows: list[tuple[int, int, dict[int, float]]], idf: np.ndarray):
         """rows: (doc_id, label, term frequencies)."""
@@ -140,12 +176,17 @@ class BlockMaxIndex:
         rows.sort(key=lambda r: (max(r[2], key=lambda i: (r[2][i] * idf[i], i)), r[0]))  # like examples share blocks
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.labels = np.array([r[1] for r in rows], dtype=np.float64)
-        blocks = max(1, -(-len(rows) // BLOCK))
-        self.weights = np.zeros((len(idf), blocks * BLOCK))
+        self.blocks = max(1, -(-len(rows) // BLOCK))
+        postings: dict[int, list[tuple[int, float]]] = {}
         for j, (_, _, v) in enumerate(rows):
             for i, x in self.unit(v).items():
-                self.weights[i, j] = x
-        self.largest = self.weights.reshape(len(idf), blocks, BLOCK).max(axis=2)
+                postings.setdefault(i, []).append((j, x))
+        #: By term: the examples, their weights, the blocks, where each block's postings begin and end, and the largest weights.
+        self.postings: dict[int, tuple[np.ndarray, ...]] = {}
+        for i, found in postings.items():
+            at, weight = np.array([j for j, _ in found]), np.array([x for _, x in found])
+            block, first = np.unique(at // BLOCK, return_index=True)
+            self.postings[i] = (at, weight, block, first, np.append(first[1:], len(at)), np.maximum.reduceat(weight, first))
 
     def unit(self, v: dict[int, float]) -> dict[int, float]:
         length = math.sqrt(sum((x * self.idf[i]) ** 2 for i, x in v.items()))
@@ -153,14 +194,22 @@ class BlockMaxIndex:
 
     def nearest(self, v: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(cosine, example) of the k largest cosines over 0; of equal ones those of the block with the larger bound, then the earlier."""
-        unit = self.unit(v)
-        terms, q = list(unit), np.array(list(unit.values()))
-        bounds = np.round(q @ self.largest[terms], 12)
+        terms = [(x, self.postings[i]) for i, x in self.unit(v).items() if i in self.postings]
+        bounds = np.zeros(self.blocks)
+        parts: dict[int, list[tuple[float, np.ndarray, np.ndarray]]] = {}
+        for x, (at, weight, block, first, last, largest) in terms:
+            bounds[block] += x * largest
+            for b, begin, end in zip(block.tolist(), first.tolist(), last.tolist(), strict=True):
+                parts.setdefault(b, []).append((x, at[begin:end], weight[begin:end]))
+        bounds = np.round(bounds, 12)
         best, where, least = np.empty(0), np.empty(0, dtype=np.int64), 0.0
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= least:
                 break
-            cosines = np.round(q @ self.weights[terms, b * BLOCK : (b + 1) * BLOCK], 12)
+            cosines = np.zeros(BLOCK)
+            for x, at, weight in parts[b]:
+                cosines[at - b * BLOCK] += x * weight
+            cosines = np.round(cosines, 12)
             near = np.flatnonzero(cosines > least)
             best, where = np.concatenate([best, cosines[near]]), np.concatenate([where, b * BLOCK + near])
             top = np.argsort(-best, kind="stable")[:k]
@@ -171,7 +220,7 @@ class BlockMaxIndex:
 
 
 class Model:
-    """All that scoring needs; bounded by MAX_TERMS and MAX_EXAMPLES."""
+    """All that scoring needs; bounded by the labelled rows and examples that it was learnt from."""
 
     def __init__(self, number: dict[str, int], idf: list[float], examples: list[tuple[int, int, dict[int, float]]], weights: tuple[float, float], base: float):
         self.number, self.examples, self.weights, self.base, self.idf = number, examples, weights, base, idf
@@ -209,7 +258,10 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES, seed: int = 11) -> Model:
-    """A Model from labelled rows that are not held out, and the frequencies of all documents."""
+    """A Model from labelled rows that are not held out, and the frequencies of all documents.
+
+    docs is read twice: for the labelled texts, which are then staged, and for the frequencies.
+    """
     bounded_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
@@ -217,22 +269,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         .orderBy(F.xxhash64("_of", F.lit(seed)), "_of").limit(max_labelled)
     )
     texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text"))
-    # chosen has at most max_labelled rows of two numbers
-    sample = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select("_id", "_text", "_label")
+    # chosen has at most max_labelled rows of two numbers; rows that repeat an id share its label
+    sample = staged(texts.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select(F.col("_id").cast("long").alias("_id"), "_text", F.col("_label").cast("long").alias("_label")), "labelled")
     size = sample.agg(F.count(F.lit(1)), F.sum("_label")).first()
     n, toxic = size[0], size[1] or 0
     if not toxic or toxic == n:
+        discard(sample)
         return Model({}, [], [], (1.0, 1.0), toxic / n if n else 0.0)
     base = toxic / n
-    counted = sample.mapInArrow(_label_counts, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-    tested = counted.count()
-    enough = math.log(max(tested, 2))
-    likely = counted.where(F.col("n_toxic") > base * F.col("n")).withColumn("gain", _gain(F.col("n"), F.col("n_toxic"), base)).where(F.col("gain") > enough)
-    tried = [r[0] for r in likely.orderBy(F.desc("gain"), "term").limit(4 * MAX_TERMS).select("term").collect()]
+    counted = staged(sample.mapInArrow(_label_counts, "term string, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")), "terms")
+    enough = math.log(max(counted.count(), 2))
+    tells = _gain(F.col("n"), F.col("n_toxic"), base) > enough
+    tried = sorted(r[0] for r in counted.where(tells).select("term").collect())
     places = sample.mapInArrow(_neighbourhoods({t: i for i, t in enumerate(tried)}), "term long, around long, label long")
     places = places.groupBy("term", "around").agg((F.avg("label") > 0.5).cast("long").alias("toxic")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n_toxic"))
-    firm = places.where(F.col("n_toxic") > base * F.col("n")).withColumn("gain", _gain(F.col("n"), F.col("n_toxic"), base)).where(F.col("gain") > enough)
-    terms = [tried[r[0]] for r in firm.orderBy(F.desc("gain"), "term").limit(MAX_TERMS).select("term").collect()]
+    terms = sorted(tried[r[0]] for r in places.where(tells).select("term").collect())
     number = {t: i for i, t in enumerate(terms)}
     found = texts.select("_text").mapInArrow(_frequency_counts(number), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     frequency = {r[0]: r[1] for r in found}
@@ -243,11 +294,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         for batch in batches:
             rows = [list(found.vector(x or "").items()) for x in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").cast(pa.int64()), batch.column("_label").cast(pa.int64()), pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int64())), pa.array([[x for _, x in r] for r in rows], pa.list_(pa.float64()))],
+                [batch.column("_id"), batch.column("_label"), pa.array([[t for t, _ in r] for r in rows], pa.list_(pa.int64())), pa.array([[x for _, x in r] for r in rows], pa.list_(pa.float64()))],
                 names=["id", "label", "terms", "values"],
             )
 
-    kept = sample.mapInArrow(vectors, "id long, label long, terms array<long>, values array<double>")
+    kept = staged(sample.mapInArrow(vectors, "id long, label long, terms array<long>, values array<double>"), "vectors")
     empty = kept.where(F.size("terms") == 0).agg(F.count(F.lit(1)), F.sum("label")).first()
     examples, weights = [], [1.0, 1.0]
     for label in (0, 1):
@@ -257,6 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         weights[label] = max(1.0, held / max(len(rows), 1))
         examples += [(r["id"], label, dict(zip(r["terms"], r["values"], strict=True))) for r in rows]
     rest = ((empty[1] or 0) + base) / (empty[0] + 1)
+    discard(sample, counted, kept)
     return Model(number, idf, examples, (weights[0], weights[1]), rest)
 
 
@@ -266,7 +318,7 @@ NEAR = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.Struct
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns to keep as _row, _score and _near, the evidence: doc_id, cosine and label of the neighbours."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TERMS and MAX_EXAMPLES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled rows and examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
