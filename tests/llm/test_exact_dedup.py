@@ -36,3 +36,19 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert exact_duplicates(frame(spark, [])).count() == 0
     assert drop_exact_duplicates(frame(spark, [])).count() == 0
+
+
+def test_heavy_and_light_texts_give_the_same(spark, monkeypatch):
+    """Winners that are broadcast and those that are joined, with null ids and a text of a third of the rows."""
+    from tests.llm.helpers import frame
+    from tidemark.llm import exact_dedup as ed
+
+    rows = [(i, "Hot" if i % 3 == 0 else f"text {i % 50}") for i in range(300)] + [(None, "Hot"), (None, "alone"), (None, None), (400, "")]
+    df = frame(spark, rows)
+    found = []
+    for heavy in (1, 4, 10**6):
+        monkeypatch.setattr(ed, "HEAVY", heavy)
+        found.append(sorted(map(repr, ed.exact_duplicates(df).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+    by_id = {r.doc_id: r for r in ed.exact_duplicates(df).where("doc_id IS NOT NULL").collect()}
+    assert by_id[0].keep_id == 297 and by_id[0].group_size == 101 and by_id[297].kept and by_id[400].group_size == 2

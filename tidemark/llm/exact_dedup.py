@@ -8,7 +8,9 @@ Three stages, each comparing the full normalised content and not its digest:
 3. global: the at most ``salts`` winners of each text are combined.
 
 A digest that belongs to a single content identifies it, so membership is joined
-by digest alone; where two contents share a digest, it is joined by both.
+by digest alone; where two contents share a digest, it is joined by both. Texts that
+more than one in HEAVY rows have are at most HEAVY, so their winners are broadcast, and
+no key of the shuffled join has more than that share of the rows.
 
 Texts are equal when identical after lower-casing A-Z; a null text is an empty
 one. The row with the largest doc_id stays; a null doc_id loses to any other. Of
@@ -25,6 +27,8 @@ from tidemark.llm.common import packed, staged, table, text_or_empty, unpacked
 
 #: The letters that are lower-cased.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A text that more than one in so many rows have is heavy.
+HEAVY = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -49,6 +53,19 @@ def content_classes(docs: DataFrame, salts: int = 16, digest_chars: int = 64) ->
     return salted.groupBy("_digest", "_content").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
 
 
+def _members(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """rows with keep_id and group_size; winners has a row for each digest."""
+    total = winners.agg(F.sum("group_size")).first()[0] or 0
+    heavy = winners.where(F.col("group_size") > total / HEAVY).select(F.col("_digest").alias("_heavy"), F.col("keep_id").alias("_k"), F.col("group_size").alias("_n"))
+    # fewer than HEAVY rows, as each stands for more than one in HEAVY of all
+    known = rows.join(F.broadcast(heavy), F.col("_digest") == F.col("_heavy"), "left")
+    # a row that is done needs no partner: a key that nothing has spreads it
+    key = F.when(F.col("_heavy").isNull(), F.col("_digest")).otherwise(F.concat(F.lit("done "), F.xxhash64("_id").cast("string")))
+    light = winners.where(F.col("group_size") <= total / HEAVY).withColumnRenamed("_digest", "_of")
+    found = known.withColumn("_key", key).join(light, F.col("_key") == F.col("_of"), "left")
+    return found.select(*rows.columns, F.coalesce("_k", "keep_id").alias("keep_id"), F.coalesce("_n", "group_size").alias("group_size"))
+
+
 def exact_duplicates(docs: DataFrame, salts: int = 16, digest_chars: int = 64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -58,7 +75,7 @@ def exact_duplicates(docs: DataFrame, salts: int = 16, digest_chars: int = 64) -
     by_digest = staged(classes.drop("_content"), "exact-classes")
     rows = _keyed(docs, digest_chars).withColumn("text_sha256", F.sha2("_content", 256))
     if by_digest.groupBy("_digest").count().where("count > 1").isEmpty():
-        found = rows.drop("_content").join(by_digest, "_digest")
+        found = _members(rows.drop("_content"), by_digest)
     else:
         found = rows.join(classes, ["_digest", "_content"])
     repeat = F.row_number().over(Window.partitionBy("_id", "text_sha256").orderBy("keep_id"))
