@@ -38,3 +38,22 @@ def test_host_verdict(spark):
     kept = {r._row.doc_id: r._kept for r in judged(frame(spark, rows), keep=["doc_id"]).collect()}
     assert not any(kept[i] for i in range(80)) and all(kept[100 + i] for i in range(80))
     assert kept[300] and kept[301]
+
+
+def test_rate_far_below_a_half_can_be_bad(spark):
+    """Many ordinary hosts and some that fail three times as often: the prior tells, not a fixed rate."""
+    symbols = PROSE + " # * $ % & |"
+    rows = [(h * 1000 + i, symbols if i < (30 if h < 3 else 5 + h % 4) else f"{PROSE} {h} {i}", f"h{h}") for h in range(20) for i in range(100)]
+    kept = {r._row.doc_id: r._kept for r in judged(frame(spark, rows), keep=["doc_id"]).collect()}
+    for h in range(20):
+        assert [kept[h * 1000 + i] for i in range(30)] == ([False] * 30 if h < 3 else [True] * 30)
+        assert all(kept[h * 1000 + i] for i in range(30, 100))
+
+
+def test_repeats_are_exact_where_hashes_meet(monkeypatch):
+    """With a multiplier of 0 only the last word of a window makes its key; the words still decide."""
+    from tidemark.llm import quality_rules as q
+
+    monkeypatch.setattr(q, "MULTIPLIER", 0)
+    text = "a b c d e f g h i j a b c d e f g h k l m n o p q r s t j h"
+    assert q.text_counts(text.encode()) == brute(text)

@@ -2,9 +2,11 @@
 
 Base rules look at a document alone. The method adds evidence of its host: the
 rule failures of each host are counted, their rates are shrunk with a beta prior
-that is fitted to all hosts by the method of moments, and a host whose shrunk
-rate is high gets a bad verdict. Documents of a bad host must also pass the soft
-rules; a document that passes every rule stays wherever it comes from.
+that is fitted to all hosts by the method of moments, and a host whose shrunk rate
+lies more than BAD_SIGMAS standard deviations of that prior above its mean gets a bad
+verdict. Documents of a bad host must also pass the soft rules; a document that passes
+every rule stays wherever it comes from. Where hosts do not differ beyond chance, the
+prior is narrow, all rates are shrunk into it, and no host is bad.
 
 A null text has no words and fails; a null host is a host of its own. Repeated
 rows count each. An empty table gives an empty result.
@@ -12,6 +14,7 @@ rows count each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +32,13 @@ WHITE_BYTES = b" \t\n\x0b\x0c\r"
 MIN_WORDS = 20
 #: Soft rules: symbols a word, repeated lines a line, and letters a word.
 MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTHS = 0.1, 0.3, (2.0, 12.0)
-#: A host is bad when its shrunk failure rate is above this.
-BAD_HOST = 0.5
+#: A host is bad when its shrunk failure rate is so many standard deviations of the prior above the prior's mean.
+BAD_SIGMAS = 1.0
 
+#: Of the polynomial hash of a window.
+MULTIPLIER = 0xD6E8FEB86659FD93
+#: Keys over which a host's rows are dealt.
+SALTS = 16
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -50,12 +57,18 @@ def repeated_words(words: list[bytes]) -> int:
     mixed ^= mixed >> np.uint64(32)
     key = np.zeros(at, dtype=np.uint64)
     for j in range(WINDOW):
-        key = key * np.uint64(0xD6E8FEB86659FD93) + mixed[j : j + at]
-    order = np.sort(key)
-    twice = order[1:][order[1:] == order[:-1]]
-    if not len(twice):
+        key = key * np.uint64(MULTIPLIER) + mixed[j : j + at]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
         return 0
-    starts = np.flatnonzero(np.isin(key, twice))
+    one, two = order[same], order[same + 1]
+    if any((ids[one + j] != ids[two + j]).any() for j in range(WINDOW)):  # different words under one key
+        windows = [tuple(ids[i : i + WINDOW]) for i in range(at)]
+        often = Counter(windows)
+        starts = np.array([i for i, w in enumerate(windows) if often[w] > 1], dtype=np.int64)
+    else:
+        starts = np.union1d(one, two)
     edge = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + WINDOW, -1)
@@ -122,20 +135,23 @@ def host_verdicts(counted: DataFrame) -> DataFrame:
     k = F.when(between > 0, F.greatest(F.col("_m") * (1 - F.col("_m")) / F.nullif(between, F.lit(0.0)) - 1, F.lit(1.0))).otherwise(1e6)
     prior = total.select("_m", F.least(k, F.lit(1e6)).alias("_k"))
     rate = (F.col("_bad") + F.col("_m") * F.col("_k")) / (F.col("_n") + F.col("_k"))
+    limit = F.col("_m") + BAD_SIGMAS * F.sqrt(F.col("_m") * (1 - F.col("_m")) / (F.col("_k") + 1))
     # prior is one row, the result of a global aggregate
-    return hosts.join(F.broadcast(prior)).select(F.col("_host").alias("_of_host"), rate.alias("_host_rate"), (rate > BAD_HOST).alias("_host_bad"))
+    return hosts.join(F.broadcast(prior)).select(F.col("_host").alias("_of_host"), rate.alias("_host_rate"), (rate > limit).alias("_host_bad"))
 
 
 def judged(docs: DataFrame, host: str = "source", keep: list[str] | None = None) -> DataFrame:
     """_row (the columns to keep) with the COUNTS, _base_failed, _host_rate and _kept.
 
-    The table of hosts is written first; the join is broadcast only if its files
-    are below Spark's own limit and shuffled else.
+    Texts are counted once, and what is kept of the rows is written with the counts. The
+    table of hosts is written, too; the join is broadcast only if its files are below
+    Spark's own limit, and shuffled else with a host's rows dealt over SALTS keys.
     """
-    verdicts = staged(host_verdicts(with_counts(docs, host=host, keep=[host])), "hosts")
-    counted = with_counts(docs, host=host, keep=keep)
+    counted = staged(with_counts(docs, host=host, keep=keep), "counted")
+    verdicts = staged(host_verdicts(counted).withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "hosts")
+    dealt = counted.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     return (
-        counted.join(verdicts, F.col("_host").eqNullSafe(F.col("_of_host")), "left")
+        dealt.join(verdicts, F.col("_host").eqNullSafe(F.col("_of_host")) & (F.col("_salt") == F.col("_salt_of")), "left")
         .withColumn("_base_failed", base_failed())
         .withColumn("_kept", ~F.col("_base_failed") & ~(F.coalesce("_host_bad", F.lit(False)) & soft_failed()))
     )
@@ -153,8 +169,20 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP4_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+def host_rules_sections(spark, sf_dir: str) -> DataFrame:
+    """The same rules where hosts differ: each source's texts with three symbols in a row as a section of their own, which gets a bad verdict."""
+    docs = table(spark, sf_dir, "documents")
+    section = F.concat(F.col("source"), F.when(F.col("text").rlike("[#*$%&]{3}"), "/marked").otherwise("/plain"))
+    found = judged(docs.select("doc_id", "text", section.alias("section")), host="section", keep=["doc_id", "section"])
+    return found.select(
+        "_row.doc_id", F.col("_row.section").alias("section"), *(F.col(f"_{c}").alias(c) for c in COUNTS[:5]), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept")
+    )
+
+
+def _sql(rows: str) -> str:
+    """The rules over rows (doc_id, source, t)."""
+    return f"""
+WITH d AS ({rows}),
 w AS (SELECT doc_id, source, t, regexp_extract_all(t, '{WORD}') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(ws, i, i + {WINDOW - 1})) AS c
@@ -173,8 +201,14 @@ h AS (SELECT source, count(*)::DOUBLE AS n, sum((base_failed OR soft)::INT)::DOU
 g AS (SELECT sum(n) AS total, sum(bad) / sum(n) AS m, count(*) AS hosts, sum(bad * bad / n) AS square FROM h),
 b AS (SELECT m, greatest(square / total - m * m - m * (1 - m) * hosts / total, 0) AS between_ FROM g),
 k AS (SELECT m, least(CASE WHEN between_ > 0 THEN greatest(m * (1 - m) / between_ - 1, 1) ELSE 1e6 END, 1e6) AS k FROM b),
-v AS (SELECT source, (bad + m * k) / (n + k) > {BAD_HOST} AS host_bad FROM h, k)
+v AS (SELECT source, (bad + m * k) / (n + k) > m + {BAD_SIGMAS} * sqrt(m * (1 - m) / (k + 1)) AS host_bad FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (host_bad AND soft) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
+
+
+OP4_SQL = _sql("SELECT doc_id, source, coalesce(text, '') AS t FROM documents")
+SECTIONS_SQL = _sql(
+    "SELECT doc_id, source || CASE WHEN regexp_matches(coalesce(text, ''), '[#*$%&]{3}') THEN '/marked' ELSE '/plain' END AS source, coalesce(text, '') AS t FROM documents"
+).replace("SELECT doc_id, n_words, word_chars", "SELECT doc_id, f.source AS section, n_words, word_chars")

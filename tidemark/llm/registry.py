@@ -9,7 +9,7 @@ from tidemark.llm.mixing import op6_mixing
 from tidemark.llm.near_dedup import op9_near_dedup
 from tidemark.llm.pii import op10_pii
 from tidemark.llm.quality_classifier import op7_quality_classifier
-from tidemark.llm.quality_rules import OP4_SQL, op4_quality_rules
+from tidemark.llm.quality_rules import OP4_SQL, SECTIONS_SQL, host_rules_sections, op4_quality_rules
 from tidemark.llm.secrets import op2_secrets
 from tidemark.llm.toxicity import op8_toxicity
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
+    "host_rules_sections": host_rules_sections,
 }
 
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "host_rules_sections": SECTIONS_SQL}
