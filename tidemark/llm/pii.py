@@ -8,8 +8,14 @@ get equal pseudonyms in all documents, whatever their separators, and different
 values get different ones. Whoever has the key can undo it. The local part of an
 email address is permuted within letters and digits; its domain stays.
 
-Kinds: iban (mod 97), card (Luhn, 13 to 19 digits), ssn (area, group and serial),
-phone (NANP or with +), ip (four octets), date (in the calendar, 1900 to 2099), email.
+Dates are permuted among those whose day is as long (1 to 9, 10 to 12, 13 on) and whose
+month is as long: so a date keeps its widths, is read in the same order as before, and
+is the same date in every layout. Where both orders make a date, the day is first.
+
+Kinds: iban (mod 97, letters in either case), card (Luhn, 13 to 19 digits), ssn (area, group
+and serial), phone (NANP with marks, or with +, a trunk zero in brackets allowed), ip (four
+octets, or version 6, written in its shortest form), date (in the calendar, 1900 to 2099), email.
+Digits without any mark are no phone: nothing would tell them from other numbers.
 A finder takes as much as it can; where that fails validation, shorter ends at token
 borders are tried (iban: the country's length first), then later starts within it.
 Values that fail validation stay as they are. A null text stays null, an empty one
@@ -20,6 +26,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,7 +38,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import bounded_batches, packed, table
 
-#: The key of tests and examples; production passes its own.
+#: The key of the registered query and of tests; it is public, so that production passes its own.
 EXAMPLE_KEY = b"tidemark example key"
 ROUNDS = 10
 KINDS = ("iban", "card", "ssn", "phone", "ip", "date", "email")
@@ -106,6 +113,8 @@ def _card(value: str, step: Step) -> str | None:
 def _iban(value: str, step: Step) -> str | None:
     """Digits of the account are permuted, letters stay; the check digits follow."""
     plain = value.replace(" ", "")
+    if not plain.isascii() or (plain != plain.upper() and plain != plain.lower()):
+        return None
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
     if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
         return None
@@ -113,7 +122,7 @@ def _iban(value: str, step: Step) -> str | None:
     digits = "".join(c for c in account if c.isdigit())
     if not digits:
         return None
-    account = _laid_out(account, str(step(int(digits), 10 ** len(digits), f"iban{plain[:2]}")).zfill(len(digits)))
+    account = _laid_out(account, str(step(int(digits), 10 ** len(digits), f"iban{plain[:2].upper()}")).zfill(len(digits)))
     check = 98 - number(account + plain[:2] + "00") % 97
     left = iter(f"{plain[:2]}{check:02d}{account}")
     return "".join(c if c == " " else next(left) for c in value)
@@ -131,6 +140,10 @@ def _ssn(value: str, step: Step) -> str | None:
 
 
 def _phone(value: str, step: Step) -> str | None:
+    trunk = re.search(r"\(0\)", value)
+    if trunk:  # stays where it is and does not count
+        new = _phone(value[: trunk.start()] + value[trunk.end() :], step)
+        return new and new[: trunk.start()] + "(0)" + new[trunk.start() :]
     digits = re.sub(r"\D", "", value)
     plus = value.startswith("+")
     national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
@@ -139,7 +152,7 @@ def _phone(value: str, step: Step) -> str | None:
         x, line = divmod(step(x, 800 * 800 * 10_000, "nanp"), 10_000)
         area, office = divmod(x, 800)
         return _laid_out(value, digits[: len(digits) - 10] + f"{area + 200}{office + 200}{line:04d}")
-    if plus and 8 <= len(digits) <= 15:
+    if plus and 8 <= len(digits) <= 15 and not (digits[0] == "1" and len(digits) == 11):
         rest = len(digits) - 3  # country codes have up to three digits; they stay
         return _laid_out(value, digits[:3] + str(step(int(digits[3:]), 10**rest, f"phone{digits[:3]}")).zfill(rest))
     return None
@@ -153,43 +166,55 @@ def _ip(value: str, step: Step) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
-def _moved(year: int, month: int, day: int, step: Step) -> datetime.date | None:
+def _ip6(value: str, step: Step) -> str | None:
     try:
-        date = datetime.date(year, month, day)
+        old = ipaddress.IPv6Address(value)
     except ValueError:
         return None
-    if not FIRST_DAY <= date <= LAST_DAY:
+    new = str(ipaddress.IPv6Address(step(int(old), 1 << 128, "ip6")))
+    return new.upper() if value != value.lower() else new
+
+
+@lru_cache(maxsize=1)
+def _date_classes() -> tuple[dict[datetime.date, tuple[int, int]], list[list[datetime.date]]]:
+    """All dates by the widths of their numbers: the class and the place in it of each, and the dates of each class."""
+    at, classes = {}, [[] for _ in range(6)]
+    for i in range((LAST_DAY - FIRST_DAY).days + 1):
+        date = FIRST_DAY + datetime.timedelta(i)
+        kind = (0 if date.day < 10 else 1 if date.day <= 12 else 2) * 2 + (date.month > 9)
+        at[date] = kind, len(classes[kind])
+        classes[kind].append(date)
+    return at, classes
+
+
+def _moved(year: int, month: int, day: int, step: Step) -> datetime.date | None:
+    at, classes = _date_classes()
+    try:
+        kind, place = at[datetime.date(year, month, day)]
+    except (KeyError, ValueError):
         return None
-    days = (LAST_DAY - FIRST_DAY).days + 1
-    return FIRST_DAY + datetime.timedelta(step((date - FIRST_DAY).days, days, "date"))
+    return classes[kind][step(place, len(classes[kind]), f"date{kind}")]
 
 
 def _date(value: str, step: Step) -> str | None:
-    numbers, name = list(map(int, re.findall(r"\d+", value))), re.search(r"[A-Z][a-z]+", value)
+    """The other date's numbers in the places and widths of the old ones, and its month's name where a name was."""
+    texts, name = re.findall(r"[0-9]+", value), re.search(r"[A-Z][a-z]+", value)
+    numbers = list(map(int, texts))
     if name:
-        day, year = numbers
-        new = _moved(year, MONTHS.index(name[0]) + 1, day, step)
-        if new is None:
-            return None
-        day_first = value[0].isdigit()
-        day_text = f"{new.day:0{len(re.search('[0-9]+', value)[0])}d}" if re.search("[0-9]+", value)[0][0] == "0" else str(new.day)
-        month = MONTHS[new.month - 1]
-        middle = re.search(r"(?<=\d)(\D+)(?=\d{4})", value)[1]
-        return f"{day_text}{middle.replace(name[0], month)}{new.year}" if day_first else f"{month} {day_text}{middle}{new.year}"
-    mark = re.search(r"[-/.]", value)[0]
-    widths = [len(x) for x in re.findall(r"\d+", value)]
-    if widths[0] == 4:
-        order = (0, 1, 2)
-    else:  # day first, unless only month first is a date
-        order = (2, 0, 1) if numbers[1] > 12 else (2, 1, 0)
-    new = _moved(*(numbers[i] for i in order), step)
+        new = _moved(numbers[1], MONTHS.index(name[0]) + 1, numbers[0], step)
+        made = new and [new.day, new.year]
+    else:
+        if len(texts[0]) == 4:
+            order = (0, 1, 2)
+        else:  # day first, unless only month first is a date
+            order = (2, 0, 1) if numbers[1] > 12 else (2, 1, 0)
+        new = _moved(*(numbers[i] for i in order), step)
+        made = new and [x for _, x in sorted(zip(order, (new.year, new.month, new.day), strict=True))]
     if new is None:
         return None
-    parts: list[str] = [""] * 3
-    padded = any(x.startswith("0") for x in re.findall(r"\d+", value)) or min(widths) == 2
-    for i, x in zip(order, (new.year, new.month, new.day), strict=True):
-        parts[i] = f"{x:0{2 if padded else 1}d}"
-    return mark.join(parts)
+    left = iter([f"{x:0{len(t)}d}" for x, t in zip(made, texts, strict=True)])
+    plain = re.sub(r"[0-9]+", lambda _: next(left), value)
+    return plain.replace(name[0], MONTHS[new.month - 1]) if name else plain
 
 
 def _email(value: str, step: Step) -> str | None:
@@ -223,11 +248,12 @@ def _email(value: str, step: Step) -> str | None:
 
 _NAMES = "|".join(MONTHS)
 FINDERS: tuple[tuple[str, re.Pattern, Callable[[str, Step], str | None]], ...] = (
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?!\w)"), _iban),
+    ("iban", re.compile(r"(?<!\w)(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}|[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{1,4}){3,8})(?!\w)"), _iban),
     ("card", re.compile(r"(?<!\w)(?<![0-9][.-])[2-6](?:[ -]?[0-9]){12,18}(?!\w|[.-][0-9])"), _card),
     ("ssn", re.compile(r"(?<!\w)(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w|-[0-9])"), _ssn),
-    ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?!\w|-[0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w|-[0-9])"), _phone),
+    ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-]?[0-9]{4}(?!\w|-[0-9])|(?<![\w+])\+[0-9]{1,3} ?\(0\)(?:[ .-]?[0-9]{2,4}){2,5}(?!\w|-[0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?!\w|-[0-9])"), _phone),
     ("ip", re.compile(r"(?<!\w)(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])"), _ip),
+    ("ip", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f:]{2,39}(?![\w:]|\.[0-9])"), _ip6),
     (
         "date",
         re.compile(rf"(?<!\w)(?<![0-9][./-])(?:[0-9]{{4}}([-/.])[0-9]{{1,2}}\1[0-9]{{1,2}}|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\2[0-9]{{4}}|[0-9]{{1,2}} (?:{_NAMES}),? [0-9]{{4}}|(?:{_NAMES}) [0-9]{{1,2}},? [0-9]{{4}})(?!\w|[./-][0-9])"),
@@ -253,7 +279,7 @@ def _candidates(kind: str, value: str) -> list[int]:
         return [len(value)]
     ends = [len(value), *(m.start() for m in reversed(list(BORDER.finditer(value))))]
     if kind == "iban":
-        wanted = IBAN_LENGTHS.get(value[:2])
+        wanted = IBAN_LENGTHS.get(value[:2].upper())
         ends.sort(key=lambda e: len(value[:e].replace(" ", "")) != wanted)
     return ends
 
@@ -294,6 +320,11 @@ def replaced(text: str, spans: list[tuple[int, int, str, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+def restored(text: str, key: bytes) -> str:
+    """A text with its pseudonyms undone."""
+    return replaced(text, personal_spans(text, permuter(key).undo))
+
+
 @lru_cache(maxsize=4)
 def permuter(key: bytes) -> Permuter:
     return Permuter(key)
@@ -316,8 +347,8 @@ def _changer(key: bytes):
     return run
 
 
-def pseudonymised(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep as _row, the changed text as _new, and _found (kind, start, end, pseudonym)."""
+def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep as _row, the changed text as _new, and _found (kind, start, end, pseudonym). The key is secret and the caller's."""
     bounded_batches(docs.sparkSession)
     kept = docs.select(*[f"`{c}`" for c in docs.columns if keep is None or c in keep])
     rows = docs.select(packed(kept), docs[text].alias("_text"))
@@ -330,7 +361,7 @@ def _is(kind: str):
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
-    found = pseudonymised(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = pseudonymised(table(spark, sf_dir, "documents"), EXAMPLE_KEY, keep=["doc_id"])
     kinds = F.transform("_found", lambda x: x["kind"])
     counts = [F.size(F.array_compact(F.transform(kinds, _is(k)))).cast("long").alias(f"n_{k}") for k in KINDS]
     spans = F.array_join(F.transform("_found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
