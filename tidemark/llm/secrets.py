@@ -2,10 +2,12 @@
 
 Base patterns find assignments to a few names, access keys and runs of hex digits.
 The lexer then reads the text as source or configuration: it takes name-literal
-pairs from assignments, keyword arguments, dictionary entries, YAML, dotenv and XML
-elements; follows constants through names and through +; and scores each literal
-by how sensitive the name it ends up under is, and by the literal itself. Literals
-that score enough and that no base span covers are added, where they stand.
+pairs from assignments, keyword arguments, dictionary entries, YAML with its blocks,
+dotenv and XML elements. When all pairs are known, constants are followed through names
+and through +: a name stands for what was assigned to it last before, or else first
+after, and names that stand for each other for nothing. Each literal is scored by how
+sensitive the name it ends up under is, and by the value itself. Literals that score
+enough and that no base span covers are added, where they stand.
 
 A null or empty text has no spans. Repeated rows are scanned each; an empty table
 gives an empty result.
@@ -59,6 +61,9 @@ SCORED = 1024
 _BARE = r'''[^\s"'`,;(){}<>\]]'''
 QUOTED = re.compile(r'''"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`''')
 BARE = re.compile(f"{_BARE}++")
+TRIPLE = ('"""', "'''")
+NAME = re.compile(r"[A-Za-z_][\w.-]{0,63}", re.A)
+BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*\n")
 CLOSING = re.compile(r"</([A-Za-z_][\w.-]{0,63})>", re.A)
 PLUS = re.compile(r"[ \t]{0,8}\+\s{0,8}")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -78,29 +83,40 @@ def literal_weight(value: str) -> float:
     shares = [n / len(value) for n in counts.values()]
     entropy = -sum(p * math.log2(p) for p in shares)
     kinds = sum(any(map(f, counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    if value.startswith("-----BEGIN "):
+        return 0.5
     return 0.2 * (len(value) >= 8) + 0.3 * (entropy >= 3) + 0.1 * any(map(str.isdigit, counts)) + 0.2 * (kinds >= 3) - 0.5 * value.isalpha() - 0.5 * (" " in value)
 
 
 class Term:
-    """A literal, or a constant that stands for its own terms, and the term joined to it by +."""
+    """A literal, or a name that may stand for other terms, and the term joined to it by +."""
 
-    __slots__ = ("constant", "rest", "said", "seen", "span")
+    __slots__ = ("constant", "name", "rest", "said", "seen", "span")
 
-    def __init__(self, span: tuple[int, int], constant: Term | None, said: str):
-        self.span, self.constant, self.said, self.rest, self.seen = span, constant, said, None, False
+    def __init__(self, span: tuple[int, int], said: str, name: str | None = None):
+        self.span, self.said, self.name, self.constant, self.rest, self.seen = span, said, name, None, None, False
 
 
 class Expressions:
     """Reads the expressions of a text; those that share an end share its terms, and a bare run is searched once."""
 
     def __init__(self, text: str):
-        self.text, self.known, self.terms, self.run = text, {}, {}, (0, 0)
+        self.text, self.terms, self.run, self.without = text, {}, (0, 0), set()
+        self.lines: tuple[list[int], list[int]] | None = None
+
+    def _literal(self, a: int, b: int, name: str | None = None) -> Term:
+        return Term((a, b), self.text[a : min(b, a + SCORED)], name)
 
     def _term(self, at: int) -> tuple[Term, int] | None:
         text = self.text
+        for mark in TRIPLE:
+            if text.startswith(mark, at) and mark not in self.without:
+                end = text.find(mark, at + 3)
+                if end >= 0:
+                    return self._literal(at + 3, end), end + 3
+                self.without.add(mark)  # none from here on
         if m := QUOTED.match(text, at):
-            a, b = m.span(m.lastindex or 1)
-            return Term((a, b), None, text[a : min(b, a + SCORED)]), m.end()
+            return self._literal(*m.span(m.lastindex or 1)), m.end()
         if not self.run[0] <= at < self.run[1]:
             if not (m := BARE.match(text, at)):
                 return None
@@ -108,9 +124,7 @@ class Expressions:
         if text[at] == "+":
             return None
         b = self.run[1]
-        if b - at <= 64 and (found := self.known.get(text[at:b])):
-            return Term((at, b), *found), b
-        return Term((at, b), None, text[at : min(b, at + SCORED)]), b
+        return self._literal(at, b, text[at:b] if b - at <= 64 and NAME.fullmatch(text, at, b) else None), b
 
     def read(self, at: int) -> Term | None:
         first = last = None
@@ -129,14 +143,67 @@ class Expressions:
                 return first
             last, at = term, more.end()
 
-
-def _beginning(term: Term | None) -> str:
-    parts, room = [], SCORED
-    while term and room > 0:
-        parts.append(term.said[:room])
-        room -= len(parts[-1])
-        term = term.rest
-    return "".join(parts)
+    def block(self, head: int, at: int) -> Term | None:
+        """The lines below one that ends in a block's mark, as far as they are indented more."""
+        if not (m := BLOCK.match(self.text, at)):
+            return None
+        starts, bodies = self._lines()
+        a, b = bodies[bisect_right(starts, head) - 1]
+        return self._literal(a, b) if a < b else None
+
+    def _lines(self) -> tuple[list[int], list[tuple[int, int]]]:
+        """Where the lines begin that aren't blank, and from where to where those below each stand that are indented more."""
+        if self.lines is None:
+            starts, bodies, open_ = [], [], []
+            at = last = 0
+            for line in self.text.split("\n"):
+                body = line.strip()
+                if body:
+                    deep = len(line) - len(line.lstrip())
+                    while open_ and open_[-1][0] >= deep:
+                        i = open_.pop()[1]
+                        bodies[i] = (bodies[i][0], last)
+                    if starts and bodies[-1][0] < 0:
+                        bodies[-1] = (at + deep, 0)  # the next line's text
+                    open_.append((deep, len(starts)))
+                    starts.append(at)
+                    bodies.append((-1, 0))
+                    last = at + deep + len(body)
+                at += len(line) + 1
+            for _, i in open_:
+                bodies[i] = (bodies[i][0] if bodies[i][0] >= 0 else last, last)
+            self.lines = starts, bodies
+        return self.lines
+
+
+def _beginning(head: Term, known: dict[Term, str]) -> str:
+    """The first SCORED characters of an expression's value; a name that is being followed already stands for nothing."""
+    work, busy = [head], set()
+    while work:
+        now = work[-1]
+        if now in known:
+            work.pop()
+            continue
+        busy.add(now)
+        parts, room, x = [], SCORED, now
+        while x and room > 0:
+            if x.constant is None:
+                said = x.said
+            elif x.constant in known:
+                said = known[x.constant]
+            elif x.constant in busy:
+                said = ""
+            else:
+                work.append(x.constant)
+                break
+            parts.append(said[:room])
+            room -= len(parts[-1])
+            x = x.rest
+        else:
+            known[now] = "".join(parts)
+            busy.discard(now)
+            work.pop()
+    return known[head]
 
 
 def _spans(term: Term) -> Iterator[tuple[int, int]]:
@@ -153,11 +220,11 @@ def _spans(term: Term) -> Iterator[tuple[int, int]]:
             x = x.rest
 
 
-def lexed_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, in their order, each once."""
+def _pairs(text: str) -> tuple[list[tuple[int, str, Term]], dict[int, Term]]:
+    """(start, name, value) of all assignments, and all terms by their places."""
     read = Expressions(text)
     closing: dict[str, list[int]] | None = None
-    found = set()
+    out = []
     for m in HEAD.finditer(text):
         if m["tag"]:
             if closing is None:
@@ -166,16 +233,38 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                     closing.setdefault(x[1], []).append(x.start())
             ends = closing.get(m["tag"], [])
             i = bisect_left(ends, m.end())
-            if i == len(ends):
-                continue
-            name, term = m["tag"], Term((m.end(), ends[i]), None, text[m.end() : min(ends[i], m.end() + SCORED)])
-        else:
-            name, term = m["name"], read.read(m.end())
-        if not (value := _beginning(term)):
-            continue
-        read.known[name] = (term, value)
+            if i < len(ends):
+                out.append((m.start(), m["tag"], Term((m.end(), ends[i]), text[m.end() : min(ends[i], m.end() + SCORED)])))
+        elif term := read.block(m.start(), m.end()) or read.read(m.end()):
+            out.append((m.start(), m["name"], term))
+    return out, read.terms
+
+
+def lexed_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of literals that reach a sensitive name, in their order, each once."""
+    pairs, terms = _pairs(text)
+    heads = [start for start, _, _ in pairs]
+    places: dict[str, tuple[list[int], list[Term]]] = {}
+    for start, name, term in pairs:
+        at, values = places.setdefault(name, ([], []))
+        at.append(start)
+        values.append(term)
+    for place, term in terms.items():
+        if term.name in places:
+            at, values = places[term.name]
+            own = bisect_left(heads, place) - 1
+            i = bisect_left(at, place) - 1
+            if i >= 0 and at[i] == heads[own]:  # the assignment that the name stands in
+                i -= 1
+            if i < 0:
+                i = bisect_left(at, place)
+            if 0 <= i < len(at):
+                term.constant = values[i]
+    known: dict[Term, str] = {}
+    found = set()
+    for _, name, term in pairs:
         weight = name_weight(name)
-        if weight and weight + literal_weight(value) >= ENOUGH:
+        if weight and (value := _beginning(term, known)) and weight + literal_weight(value) >= ENOUGH:
             found.update(_spans(term))
     return sorted(found)
 
