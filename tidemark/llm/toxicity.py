@@ -181,12 +181,14 @@ class BlockMaxIndex:
         for j, (_, _, v) in enumerate(rows):
             for i, x in self.unit(v).items():
                 postings.setdefault(i, []).append((j, x))
-        #: By term: the examples, their weights, the blocks, where each block's postings begin and end, and the largest weights.
-        self.postings: dict[int, tuple[np.ndarray, ...]] = {}
+        #: By term: the examples, their weights, where each block's postings begin, and the largest weight of each block.
+        self.postings: dict[int, tuple[np.ndarray, np.ndarray, list[int], np.ndarray]] = {}
         for i, found in postings.items():
             at, weight = np.array([j for j, _ in found]), np.array([x for _, x in found])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[i] = (at, weight, block, first, np.append(first[1:], len(at)), np.maximum.reduceat(weight, first))
+            first = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
+            largest = np.zeros(self.blocks)
+            np.maximum.at(largest, at // BLOCK, weight)
+            self.postings[i] = (at % BLOCK, weight, first.tolist(), largest)
 
     def unit(self, v: dict[int, float]) -> dict[int, float]:
         length = math.sqrt(sum((x * self.idf[i]) ** 2 for i, x in v.items()))
@@ -194,21 +196,19 @@ class BlockMaxIndex:
 
     def nearest(self, v: dict[int, float], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(cosine, example) of the k largest cosines over 0; of equal ones those of the block with the larger bound, then the earlier."""
-        terms = [(x, self.postings[i]) for i, x in self.unit(v).items() if i in self.postings]
-        bounds = np.zeros(self.blocks)
-        parts: dict[int, list[tuple[float, np.ndarray, np.ndarray]]] = {}
-        for x, (at, weight, block, first, last, largest) in terms:
-            bounds[block] += x * largest
-            for b, begin, end in zip(block.tolist(), first.tolist(), last.tolist(), strict=True):
-                parts.setdefault(b, []).append((x, at[begin:end], weight[begin:end]))
-        bounds = np.round(bounds, 12)
+        terms = [(x, *self.postings[i]) for i, x in self.unit(v).items() if i in self.postings]
+        if not terms:
+            return []
+        bounds = np.round(sum(x * largest for x, _, _, _, largest in terms), 12)
         best, where, least = np.empty(0), np.empty(0, dtype=np.int64), 0.0
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= least:
                 break
             cosines = np.zeros(BLOCK)
-            for x, at, weight in parts[b]:
-                cosines[at - b * BLOCK] += x * weight
+            for x, at, weight, first, _ in terms:
+                begin, end = first[b], first[b + 1]
+                if begin < end:
+                    cosines[at[begin:end]] += x * weight[begin:end]
             cosines = np.round(cosines, 12)
             near = np.flatnonzero(cosines > least)
             best, where = np.concatenate([best, cosines[near]]), np.concatenate([where, b * BLOCK + near])
