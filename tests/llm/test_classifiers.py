@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import PROSE, frame, odd
 from tidemark.llm import quality_classifier as qc
@@ -163,3 +164,48 @@ def test_quality_odd_rows(spark):
         assert len(found) == df.count() and all(0 <= x._score <= 1 for x in found)
     empty = frame(spark, [])
     assert qc.classified(empty, spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_posteriors_against_plain_python(spark):
+    """Rates of hosts and paths, strengths of the priors, and scores again from each document's own evidence, by loops."""
+    r = random.Random(21)
+    rows, labels = [], []
+    for i in range(500):
+        host = r.choice(["a", "a", "a", "b", "c", None, f"rare{i % 11}"])
+        bad = r.random() < {"a": 0.1, "b": 0.6}.get(host, 0.3)
+        words = [f"word{r.randint(0, 500)}" for _ in range(30)]
+        rows.append((i, " ".join(w + "##" if bad and r.random() < 0.6 else w for w in words), host))
+        if r.random() < 0.5:
+            labels.append((i, int(not bad), 0))
+    df = frame(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "x").when(F.col("doc_id") % 7 == 0, None).otherwise("y"))
+    found = qc.classified(df, spark.createDataFrame(labels, LABELS)).collect()
+    known = {i: q for i, q, _ in labels if not held_out(i)}
+    evidence = {x._id: float(known.get(x._id, x._own)) for x in found}
+    site = {x._id: (x._host, x._path) for x in found}
+    m = sum(evidence.values()) / len(evidence)
+
+    def strength(groups, means):
+        """Of the prior around each group's mean, from the variance of the rates less its binomial part."""
+        within = spread = 0.0
+        for g, members in groups.items():
+            rate = sum(evidence[i] for i in members) / len(members)
+            within += len(members) * means[g] * (1 - means[g])
+            spread += len(members) * (rate - means[g]) ** 2 - means[g] * (1 - means[g])
+        return min(max(within / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+
+    hosts, paths = {}, {}
+    for i, s in site.items():
+        hosts.setdefault(s[0], []).append(i)
+        paths.setdefault(s, []).append(i)
+    host_k = strength(hosts, dict.fromkeys(hosts, m))
+    host_rate = {h: (sum(evidence[i] for i in ms) + m * host_k) / (len(ms) + host_k) for h, ms in hosts.items()}
+    path_k = strength(paths, {s: host_rate[s[0]] for s in paths})
+    logit = lambda p: math.log(min(max(p, qc.EDGE), 1 - qc.EDGE) / (1 - min(max(p, qc.EDGE), 1 - qc.EDGE)))
+    for x in found:
+        i, s = x._id, site[x._id]
+        others = lambda ms: sum(evidence[j] for j in ms if j != i)  # noqa: B023, E731
+        by_host = (others(hosts[s[0]]) + m * host_k) / (len(hosts[s[0]]) - 1 + host_k)
+        by_path = (others(paths[s]) + by_host * path_k) / (len(paths[s]) - 1 + path_k)
+        assert x._host_rate == pytest.approx(by_host) and x._path_rate == pytest.approx(by_path)
+        assert x._score == pytest.approx(1 / (1 + math.exp(-(logit(x._own) + logit(by_path) - logit(m)))))
+    assert host_k < 1e6 and len({round(x._host_rate, 3) for x in found}) > 5

@@ -34,6 +34,8 @@ MIN_WORDS = 20
 MAX_SYMBOLS, MAX_DUP_LINES, WORD_LENGTHS = 0.1, 0.3, (2.0, 12.0)
 #: A host is bad when its shrunk failure rate is so many standard deviations of the prior above the prior's mean.
 BAD_SIGMAS = 1.0
+#: Of hosts that do not differ, the rates' variance has a relative standard error of sqrt(2 / (hosts - 1)); so many are left to chance.
+CHANCE = 2.0
 
 #: Of the polynomial hash of a window.
 MULTIPLIER = 0xD6E8FEB86659FD93
@@ -120,7 +122,8 @@ def host_verdicts(counted: DataFrame) -> DataFrame:
 
     The prior Beta(m*k, (1-m)*k) has the mean m of all documents, and k from the
     variance of the hosts' rates: k = m(1-m) / between - 1, where between is that
-    variance without its binomial part. Hosts that do not differ get k = 1e6.
+    variance without its binomial part and without what chance adds to that part, by
+    CHANCE standard errors. Hosts that do not differ beyond chance get k = 1e6.
     """
     hosts = counted.groupBy("_host").agg(
         F.count(F.lit(1)).alias("_n"), F.sum((base_failed() | soft_failed()).cast("long")).alias("_bad")
@@ -130,7 +133,7 @@ def host_verdicts(counted: DataFrame) -> DataFrame:
         F.sum(F.col("_bad") * F.col("_bad") / F.col("_n")).alias("_square"),
     )
     spread = F.col("_square") / F.col("_all") - F.col("_m") * F.col("_m")
-    noise = F.col("_m") * (1 - F.col("_m")) * F.col("_hosts") / F.col("_all")
+    noise = F.col("_m") * (1 - F.col("_m")) * F.col("_hosts") / F.col("_all") * (1 + CHANCE * F.sqrt(2.0 / F.greatest(F.col("_hosts") - 1, F.lit(1))))
     between = F.greatest(spread - noise, F.lit(0.0))
     k = F.when(between > 0, F.greatest(F.col("_m") * (1 - F.col("_m")) / F.nullif(between, F.lit(0.0)) - 1, F.lit(1.0))).otherwise(1e6)
     prior = total.select("_m", F.least(k, F.lit(1e6)).alias("_k"))
@@ -199,7 +202,7 @@ f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS
              OR word_chars < {WORD_LENGTHS[0]} * n_words OR word_chars > {WORD_LENGTHS[1]} * n_words AS soft FROM c),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum((base_failed OR soft)::INT)::DOUBLE AS bad FROM f GROUP BY source),
 g AS (SELECT sum(n) AS total, sum(bad) / sum(n) AS m, count(*) AS hosts, sum(bad * bad / n) AS square FROM h),
-b AS (SELECT m, greatest(square / total - m * m - m * (1 - m) * hosts / total, 0) AS between_ FROM g),
+b AS (SELECT m, greatest(square / total - m * m - m * (1 - m) * hosts / total * (1 + {CHANCE} * sqrt(2.0::DOUBLE / greatest(hosts - 1, 1))), 0) AS between_ FROM g),
 k AS (SELECT m, least(CASE WHEN between_ > 0 THEN greatest(m * (1 - m) / between_ - 1, 1) ELSE 1e6 END, 1e6) AS k FROM b),
 v AS (SELECT source, (bad + m * k) / (n + k) > m + {BAD_SIGMAS} * sqrt(m * (1 - m) / (k + 1)) AS host_bad FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
