@@ -152,11 +152,11 @@ def orders_adoption_yoy(spark, sf_dir):
 
 @query(
     f"""WITH {ORDER_STATE}{SPF_ROWS}, c AS (SELECT mvalue AS inc_domain, count(DISTINCT domain) AS count FROM tok WHERE mtype = 'include' GROUP BY 1)
-SELECT inc_domain, count, CASE inc_domain WHEN '_spf1.net' THEN 'P-One' ELSE 'Spf' || regexp_extract(inc_domain, '_spf([0-9]+)', 1) END AS provider,
+SELECT inc_domain, count, CASE inc_domain WHEN '_spf1.net' THEN 'P-One' WHEN '_spf2.net' THEN 'Net' ELSE 'Spf' || regexp_extract(inc_domain, '_spf([0-9]+)', 1) END AS provider,
 CASE inc_domain WHEN '_spf1.net' THEN 'email_provider' ELSE 'hosting' END AS type, CASE inc_domain WHEN '_spf1.net' THEN 80 ELSE 45 END AS confidence FROM c WHERE inc_domain <> '_spf0.net' AND count >= 2"""
 )
 def spf_provider_candidates(spark, sf_dir):
-    """_spf0 is mapped already, _spf1 is known, all others are guessed and count as hosting."""
+    """_spf0 is mapped already, _spf1 is known, all others are guessed and count as hosting; `spf2.` is one of the beginnings that names lose."""
     top = state_reports.top_mechanism_values(order_state(spark, sf_dir), "include", top=0, least=1).select(F.col("name").alias("inc_domain"), F.col("domains").alias("count"))
     known = {"_spf0.net": {"provider": "P-Zero", "type": "hosting", "confidence": 90}, "_spf1.net": {"provider": "P-One", "type": "email_provider", "confidence": 80}}
     names = snapshots.mapping(spark, known, spf=True)
