@@ -304,10 +304,13 @@ def _block_links(least: int, similar: float, width: int):
 
 
 def salted_join(rows: DataFrame, small: DataFrame, by: list[str], deal: str, salts: int = SALTS) -> DataFrame:
-    """rows with the columns of small, which has a row for each value of `by`: rows of a value are dealt over salts by a hash of `deal`."""
+    """rows with the columns of small, which has a row for each value of `by`: rows of a value are dealt over salts by a hash of `deal`.
+
+    Shuffled at every size, as small grows with the input.
+    """
     salt = F.pmod(F.xxhash64(deal, F.lit(3)), F.lit(salts)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [*by, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", salt).join(copies.hint("merge"), [*by, "_salt"]).drop("_salt")
 
 
 def _pairs_of_blocks(blocks: DataFrame) -> DataFrame:
