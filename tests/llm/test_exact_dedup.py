@@ -52,3 +52,19 @@ def test_heavy_and_light_texts_give_the_same(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
     by_id = {r.doc_id: r for r in ed.exact_duplicates(df).where("doc_id IS NOT NULL").collect()}
     assert by_id[0].keep_id == 297 and by_id[0].group_size == 101 and by_id[297].kept and by_id[400].group_size == 2
+
+
+@pytest.mark.parametrize("chars", [64, 1])
+def test_rows_that_repeat_id_and_text(spark, monkeypatch, chars):
+    """Also where they are written out in several parts and hold most of the rows; one of them is kept."""
+    from tidemark.llm import exact_dedup as ed
+
+    monkeypatch.setattr(ed, "PART", 7)
+    rows = [(5, "Hot")] * 50 + [(5, "hot")] * 13 + [(4, "HOT")] * 14 + [(None, "hot")] * 8 + [(None, None)] * 15 + [(9, "other")] + [(9, "hot too")] * 7
+    found = ed.exact_duplicates(frame(spark, rows), salts=3, digest_chars=chars).collect()
+    assert len(found) == len(rows)
+    hot = [r for r in found if r.text_sha256 == hashlib.sha256(b"hot").hexdigest()]
+    assert len(hot) == 85 and {(r.keep_id, r.group_size) for r in hot} == {(5, 85)}
+    assert [r.doc_id for r in hot if r.kept] == [5]
+    assert sum(r.kept for r in found) == 4 and sum(r.doc_id is None for r in found) == 23
+    assert sorted(repr(r.doc_id) for r in ed.drop_exact_duplicates(frame(spark, rows)).collect()) == ["5", "9", "9", "None"]
