@@ -77,3 +77,13 @@ def test_odd_rows(spark):
     assert mix(frame(spark, [])).count() == 0
     assert mix(frame(spark, [(1, None), (2, "")])).count() == 2
     assert mixed_documents(frame(spark, [(1, PROSE)])).collect()[0].text == PROSE
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Other texts under one id, or under none, are taken alike in every run."""
+    rows = [(i % 2 or None, " ".join(["w"] * (1 + i % 9) + [str(i)]), "abc"[i % 3]) for i in range(150)]
+    df = frame(spark, rows)
+    runs = [sorted((r._row.text, r._taken, str(r._copies)) for r in mix(df.repartition(n), keep=["text"], ranges=4).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 150
+    found = mix(df, keep=["doc_id"], ranges=4).groupBy("_source").agg(F.sum("_taken").alias("n"), F.first("_target").alias("t")).collect()
+    assert all(r.n == round(r.t) for r in found)

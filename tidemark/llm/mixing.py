@@ -13,8 +13,10 @@ end to end on that demand; the middle of what is taken of each copy is inverted
 to the time at which it is due, and documents are range-sorted by it.
 
 Cumulative sizes are taken in ranges of the hash first and then within them, so a
-hot source is not a single task's. Null texts have no words, and so no copies. Rows
-that repeat an id stand side by side. An empty table gives an empty result.
+hot source is not a single task's. The hash is of id and text, so rows that repeat an id
+with other texts (a null id, too) lie apart and in the same order in every run; of rows
+equal in both, any may be the one that is cut. Null texts have no words, and so no copies.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -84,8 +86,8 @@ def mix(
     The last copy of a source is cut where its demand ends.
     """
     kept = docs.select(*[f"`{c}`" for c in docs.columns if keep is None or c in keep])
-    sized = docs.select(packed(kept), docs["doc_id"].alias("_id"), docs[source].alias("_source"), word_count(text_or_empty(docs["text"])).alias("_size"))
-    hashed = sized.withColumn("_hash", F.xxhash64(F.col("_id"), F.lit(seed))).withColumn("_range", F.pmod(F.shiftright("_hash", 40), F.lit(ranges)))
+    sized = docs.select(packed(kept), docs["doc_id"].alias("_id"), docs[source].alias("_source"), word_count(text_or_empty(docs["text"])).alias("_size"), F.xxhash64(docs["doc_id"], docs["text"], F.lit(seed)).alias("_hash"))
+    hashed = sized.withColumn("_range", F.pmod(F.shiftright("_hash", 40), F.lit(ranges)))
     parts = hashed.groupBy("_source", "_range").agg(F.sum("_size").alias("_part"))
     parts = staged(parts, "mix-parts")
     targets = staged(source_targets(parts.groupBy("_source").agg(F.sum("_part").alias("_source_size")), weights, max_passes), "mix-targets")
