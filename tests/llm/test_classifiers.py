@@ -209,3 +209,15 @@ def test_posteriors_against_plain_python(spark):
         assert x._host_rate == pytest.approx(by_host) and x._path_rate == pytest.approx(by_path)
         assert x._score == pytest.approx(1 / (1 + math.exp(-(logit(x._own) + logit(by_path) - logit(m)))))
     assert host_k < 1e6 and len({round(x._host_rate, 3) for x in found}) > 5
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark, monkeypatch):
+    """max_labelled bounds the rows that the regression is fitted to, where ids repeat, too; reruns agree."""
+    ids = [i for i in range(40) if not held_out(i)][:12]
+    rows = [(ids[i % 12], " ".join([PROSE] * (1 + i % 3)) if i % 12 % 2 else f"# * {i}") for i in range(240)]
+    labels = spark.createDataFrame([(x, k % 2, 0) for k, x in enumerate(ids)], LABELS)
+    seen, fit = [], qc.fit_logistic
+    monkeypatch.setattr(qc, "fit_logistic", lambda x, y: seen.append(len(y)) or fit(x, y))
+    one, two = (qc.fitted(frame(spark, rows).repartition(n), labels, max_labelled=50) for n in (2, 5))
+    assert seen == [50, 50]
+    assert all((a == b).all() for a, b in zip(one, two, strict=True))

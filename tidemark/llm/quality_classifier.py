@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, fold, staged, table
-from tidemark.llm.quality_rules import text_counts
+from tidemark.llm.quality_rules import SALTS, text_counts
 
 #: Bound of the rows that the regression is fitted to.
 MAX_LABELLED = 20_000
@@ -68,7 +68,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(x or b"") for x in batch.column("_text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(rows, pa.list_(pa.float64()))], names=["_label", "_x"])
+        yield pa.RecordBatch.from_arrays([batch.column("_by"), batch.column("_label"), pa.array(rows, pa.list_(pa.float64()))], names=["_by", "_label", "_x"])
 
 
 def _scorer(model):
@@ -98,7 +98,9 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     chosen = learning_labels(labels).orderBy(F.xxhash64("_of", F.lit(seed)), "_of").limit(max_labelled)
     # chosen has at most max_labelled rows of two numbers
     texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_of"))
-    rows = texts.select("_text", "_label").mapInArrow(_featured, "_label double, _x array<double>").collect()
+    featured = texts.select(F.xxhash64("_of", "_text", F.lit(seed)).alias("_by"), "_text", "_label").mapInArrow(_featured, "_by long, _label double, _x array<double>")
+    # rows that repeat an id share its label and may be many: the bound is of rows, and their order is fixed
+    rows = featured.orderBy("_by", "_label", "_x").limit(max_labelled).select("_label", "_x").collect()
     y = np.array([r[0] for r in rows])
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
@@ -141,7 +143,10 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     sites = staged(
         both.join(F.broadcast(path_k)).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "_n", "_good", "_host_n", "_host_good", "_m", "_host_k", "_path_k"), "sites"
     )
-    found = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
+    # a site may hold a third of all rows; they are dealt over SALTS keys where the sites are too many to be broadcast
+    salted = sites.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = scored.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    found = dealt.join(salted, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")) & (F.col("_salt") == F.col("_salt_of")))
     host_rate = (F.col("_host_good") - F.col("_evidence") + F.col("_m") * F.col("_host_k")) / (F.col("_host_n") - 1 + F.col("_host_k"))
     path_rate = (F.col("_good") - F.col("_evidence") + F.col("_host_rate") * F.col("_path_k")) / (F.col("_n") - 1 + F.col("_path_k"))
     logit = _logit(F.col("_own")) + _logit(F.col("_path_rate")) - _logit(F.col("_m"))
